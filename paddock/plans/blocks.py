@@ -85,16 +85,20 @@ def framed(
     df: DataFrame,
     keys: Sequence[str],
     number: str,
-    frames: dict[tuple[int, int], dict],
+    frames: dict[tuple[int | None, int], dict],
     block: int = BLOCK,
 ) -> DataFrame:
-    """Add window columns over row frames, e.g. ``{(-4, 0): {"mean": lambda w: F.avg("x").over(w)}}``."""
-    before = max(0, -min(lo for lo, _ in frames))
+    """Add window columns over row frames, e.g. ``{(-4, 0): {"mean": lambda w: F.avg("x").over(w)}}``.
+
+    A lower bound of None starts at the first row of the block; use it only for values whose
+    offset does not matter, such as the abscissa of a slope.
+    """
+    before = max(0, -min(lo for lo, _ in frames if lo is not None))
     after = max(0, max(hi for _, hi in frames))
     out = with_blocks(df, number, before, after, block)
     base = Window.partitionBy(*keys, "_block").orderBy(number)
     for (lo, hi), columns in frames.items():
-        window = base.rowsBetween(lo, hi)
+        window = base.rowsBetween(Window.unboundedPreceding if lo is None else lo, hi)
         out = out.withColumns({name: build(window) for name, build in columns.items()})
     return out.where("_own").drop("_block", "_own")
 
@@ -188,3 +192,22 @@ def exact_quantiles(
             for n in quantiles
         ],
     )
+
+
+def edge_rows(df: DataFrame, keys: Sequence[str], number: str, k: int, block: int = BLOCK) -> DataFrame:
+    """The first ``k`` and last ``k`` rows of each group as ``from_start`` / ``from_end`` (1-based).
+
+    Every block passes on at most 2k rows, so the last step sees few rows per group.
+    """
+    up = lambda keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(number)))
+    down = lambda keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(number).desc()))
+    inner = [*keys, "_block"]
+    few = (
+        with_blocks(df, number, block=block)
+        .withColumns({"from_start": up(inner), "from_end": down(inner)})
+        .where((F.col("from_start") <= k) | (F.col("from_end") <= k))
+        .drop("_block", "_own")
+    )
+    return few.withColumns({"from_start": up(keys), "from_end": down(keys)}).where(
+        (F.col("from_start") <= k) | (F.col("from_end") <= k)
+    )

@@ -282,7 +282,7 @@ placed AS (
 race_result AS MATERIALIZED (
   SELECT race_id, season, round, circuit_id, race_date, place - 1 AS result_idx, driver_id, constructor_id,
          CASE WHEN quantity % 29 = 0 THEN 0 ELSE slot END AS grid_position, final_position, NOT retired AS finished,
-         {_sql_points} AS points,
+         CAST({_sql_points} AS DOUBLE) AS points,
          CASE WHEN NOT retired AND score % 11 <> 0 THEN 80000 + score % 20000 END AS fastest_ms,
          CASE WHEN NOT retired THEN 'finished' WHEN quantity % 7 = 0 THEN 'disqualified' WHEN quantity % 7 = 1 THEN 'dns' ELSE 'dnf' END AS status,
          CASE WHEN NOT retired THEN distance ELSE quantity % distance END AS laps_completed,

@@ -1,0 +1,8 @@
+"""All registered queries."""
+
+from __future__ import annotations
+
+from paddock.suite import features, form
+from paddock.suite.base import Query
+
+QUERIES: dict[str, Query] = {**form.QUERIES, **features.QUERIES}
