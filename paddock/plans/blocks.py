@@ -87,11 +87,13 @@ def framed(
     number: str,
     frames: dict[tuple[int | None, int], dict],
     block: int = BLOCK,
+    keep_block: bool = False,
 ) -> DataFrame:
     """Add window columns over row frames, e.g. ``{(-4, 0): {"mean": lambda w: F.avg("x").over(w)}}``.
 
     A lower bound of None starts at the first row of the block; use it only for values whose
-    offset does not matter, such as the abscissa of a slope.
+    offset does not matter, such as the abscissa of a slope. ``keep_block`` leaves ``_block`` in
+    place, so that ``running`` can go on without another shuffle.
     """
     before = max(0, -min(lo for lo, _ in frames if lo is not None))
     after = max(0, max(hi for _, hi in frames))
@@ -100,7 +102,37 @@ def framed(
     for (lo, hi), columns in frames.items():
         window = base.rowsBetween(Window.unboundedPreceding if lo is None else lo, hi)
         out = out.withColumns({name: build(window) for name, build in columns.items()})
-    return out.where("_own").drop("_block", "_own")
+    return out.where("_own").drop("_own", *([] if keep_block else ["_block"]))
+
+
+def trailing(
+    df: DataFrame,
+    keys: Sequence[str],
+    number: str,
+    sizes: Sequence[int],
+    steps: Sequence[dict],
+    block: int = BLOCK,
+    lags: dict[str, int] | None = None,
+) -> DataFrame:
+    """Sums over the last n rows for several n, as differences of running totals.
+
+    Each step adds running totals from expressions over the row and over totals of earlier steps.
+    For every total ``x`` and size n the result holds ``x`` (up to the row) and ``x_n`` (up to the
+    row n places back, 0 where there is none); the cost per row does not grow with n. ``lags``
+    adds earlier values of a column, ``column_1``, ``column_2``, ... ``_block`` stays in place.
+    """
+    lags = lags or {}
+    out = with_blocks(df, number, before=max(*sizes, *lags.values(), 1), block=block)
+    base = Window.partitionBy(*keys, "_block").orderBy(number)
+    upto = base.rowsBetween(Window.unboundedPreceding, 0)
+    for step in steps:
+        out = out.withColumns({name: F.sum(c).over(upto) for name, c in step.items()})
+    totals = [name for step in steps for name in step]
+    out = out.withColumns(
+        {f"{x}_{n}": F.coalesce(F.lag(x, n).over(base), F.lit(0.0)) for x in totals for n in sizes}
+        | {f"{c}_{i}": F.lag(c, i).over(base) for c, depth in lags.items() for i in range(1, depth + 1)}
+    )
+    return out.where("_own").drop("_own")
 
 
 def running(
@@ -110,11 +142,18 @@ def running(
     sums: dict[str, Column] | None = None,
     maxima: dict[str, Column] | None = None,
     block: int = BLOCK,
+    source: DataFrame | None = None,
 ) -> DataFrame:
-    """Running sums and maxima from the start of each group up to the row itself."""
+    """Running sums and maxima from the start of each group up to the row itself.
+
+    Only groups longer than one block need totals of earlier blocks. They are looked up in
+    ``source`` (a stored table with the keys and numbers, by default ``df``); there are at most
+    rows / block of them, which bounds the broadcast.
+    """
     sums, maxima = sums or {}, maxima or {}
-    rows = with_blocks(df, number, block=block).drop("_own")
-    totals = rows.groupBy(*keys, "_block").agg(
+    rows = df if "_block" in df.columns else with_blocks(df, number, block=block).drop("_own")
+    long = (df if source is None else source).where(F.col(number) > block).select(*keys).distinct()
+    totals = rows.join(F.broadcast(long), list(keys), "left_semi").groupBy(*keys, "_block").agg(
         *[F.sum(c).alias(f"_c_{n}") for n, c in sums.items()],
         *[F.max(c).alias(f"_c_{n}") for n, c in maxima.items()],
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paddock.suite import features, form
+from paddock.suite import assembly, features, form
 from paddock.suite.base import Query
 
-QUERIES: dict[str, Query] = {**form.QUERIES, **features.QUERIES}
+QUERIES: dict[str, Query] = {**form.QUERIES, **features.QUERIES, **assembly.QUERIES}

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from paddock.plans import canonical
 
+# keeps decimal ties such as 0.1612625 from being rounded by the last bit of a sum
+_NUDGE = 2e-9
 _SPARK = {"b": "bigint", "d": "double", "s": "string", "l": "boolean"}
 _DUCK = {"b": "BIGINT", "d": "DOUBLE", "s": "VARCHAR", "l": "BOOLEAN"}
 
@@ -28,7 +30,7 @@ class Query:
         out = []
         for name, kind in self._columns():
             column = F.col(name).cast(_SPARK[kind])
-            out.append((F.round(column, 6) + F.lit(0.0) if kind == "d" else column).alias(name))
+            out.append((F.round(column + _NUDGE, 6) + F.lit(0.0) if kind == "d" else column).alias(name))
         return self.build(spark, sf_dir).select(*out)
 
     def oracle(self) -> str | None:
@@ -37,7 +39,7 @@ class Query:
         out = []
         for name, kind in self._columns():
             column = f"CAST({name} AS {_DUCK[kind]})"
-            out.append(f"{f'round({column}, 6) + 0.0' if kind == 'd' else column} AS {name}")
+            out.append(f"{f'round({column} + {_NUDGE}, 6) + 0.0' if kind == 'd' else column} AS {name}")
         return f"WITH {canonical.SQL}\nSELECT {', '.join(out)} FROM (\n{self.sql}\n) AS answer"
 
 
