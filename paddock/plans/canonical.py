@@ -144,7 +144,7 @@ def _entries(entrant: DataFrame) -> DataFrame:
     )
 
 
-def _write(df: DataFrame, path: str, spark: SparkSession, partitions: bool = True) -> DataFrame:
+def write_table(df: DataFrame, path: str, spark: SparkSession, partitions: bool = True) -> DataFrame:
     writer = df.write.mode("overwrite")
     if partitions:
         writer = writer.partitionBy("season")
@@ -163,16 +163,21 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
     return _built[key]
 
 
-def build(spark: SparkSession, sf_dir: str) -> Tables:
+def store(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the derived tables of an input folder in this session."""
     tag = hashlib.sha256(os.path.normpath(sf_dir).encode()).hexdigest()[:12]
-    root = f"{shared_folder(spark)}/paddock/{spark.sparkContext.applicationId}/{tag}"
+    return f"{shared_folder(spark)}/paddock/{spark.sparkContext.applicationId}/{tag}"
+
+
+def build(spark: SparkSession, sf_dir: str) -> Tables:
+    root = store(spark, sf_dir)
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     orders, lineitem, supplier = read("orders"), read("lineitem"), read("supplier")
 
     headers = _race_headers(orders, lineitem)
-    headers = _write(headers, f"{root}/header", spark, False)
-    entrants = _write(_entrants(headers, lineitem, supplier), f"{root}/entrant", spark, False)
-    entries = _write(_entries(entrants), f"{root}/entry", spark, False)
+    headers = write_table(headers, f"{root}/header", spark, False)
+    entrants = write_table(_entrants(headers, lineitem, supplier), f"{root}/entrant", spark, False)
+    entries = write_table(_entries(entrants), f"{root}/entry", spark, False)
 
     finished = ~F.col("retired")
     rowlaps = F.when(finished, F.col("distance")).otherwise((F.col("quantity") % F.col("distance")).cast("int"))
@@ -204,7 +209,7 @@ def build(spark: SparkSession, sf_dir: str) -> Tables:
     )
     order = [F.col("race_date"), F.col("race_id")]
     result = number_rows(result, ["driver_id"], order, days("race_date"), "start_no", "prior_starts")
-    result = _write(result, f"{root}/race_result", spark)
+    result = write_table(result, f"{root}/race_result", spark)
 
     q1 = 82000 + F.col("score") % 9000
     lap = lambda ms, n: F.struct(ms.alias("time_ms"), F.lit(n).alias("lap_number"))
@@ -217,14 +222,14 @@ def build(spark: SparkSession, sf_dir: str) -> Tables:
         F.when(F.col("slot") <= 10, lap(q1 - 1000 - F.col("score") % 500, 11)).alias("q3"),
         "lines",
     )
-    qualifying = _write(qualifying, f"{root}/qualifying_result", spark)
+    qualifying = write_table(qualifying, f"{root}/qualifying_result", spark)
 
     race = headers.join(result.groupBy("race_id").agg(F.count(F.lit(1)).alias("field_size")), "race_id", "left").select(
         "race_id", "season", "round", "circuit_id", "race_name", "race_date", "reading",
         weather_or_default(F.col("reading")).alias("weather"), "distance",
         F.coalesce("field_size", F.lit(0)).alias("field_size"),
     )
-    race = _write(race, f"{root}/race", spark)
+    race = write_table(race, f"{root}/race", spark)
 
     team = result.groupBy("race_id", "season", "round", "circuit_id", "race_date", "constructor_id").agg(
         F.sum("points").alias("total_points"),
@@ -232,9 +237,9 @@ def build(spark: SparkSession, sf_dir: str) -> Tables:
         F.count_if("finished").alias("drivers_finished"),
         F.count(F.lit(1)).alias("total_drivers"),
     )
-    team = _write(team, f"{root}/constructor_rows", spark, False)
+    team = write_table(team, f"{root}/constructor_rows", spark, False)
     team = number_rows(team, ["constructor_id"], order, days("race_date"), "race_no", "prior_races")
-    team = _write(team, f"{root}/constructor_race", spark)
+    team = write_table(team, f"{root}/constructor_race", spark)
     return Tables(race, result, qualifying, team)
 
 

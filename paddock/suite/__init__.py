@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paddock.suite import assembly, features, form, quality
+from paddock.suite import assembly, features, form, prediction, quality
 from paddock.suite.base import Query
 
-QUERIES: dict[str, Query] = {**form.QUERIES, **features.QUERIES, **assembly.QUERIES, **quality.QUERIES}
+QUERIES: dict[str, Query] = {**form.QUERIES, **features.QUERIES, **assembly.QUERIES, **quality.QUERIES, **prediction.QUERIES}

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paddock.plans import canonical
+from paddock.plans import canonical, predictions
 
 # keeps decimal ties such as 0.1612625 from being rounded by the last bit of a sum
 _NUDGE = 2e-9
@@ -21,6 +21,7 @@ class Query:
     build: Callable[[SparkSession, str], DataFrame]
     sql: str | None
     columns: str
+    extra: str = ""
 
     def _columns(self) -> list[tuple[str, str]]:
         return [tuple(c.split(":")) for c in self.columns.split()]
@@ -40,9 +41,14 @@ class Query:
         for name, kind in self._columns():
             column = f"CAST({name} AS {_DUCK[kind]})"
             out.append(f"{f'round({column} + {_NUDGE}, 6) + 0.0' if kind == 'd' else column} AS {name}")
-        return f"WITH {canonical.SQL}\nSELECT {', '.join(out)} FROM (\n{self.sql}\n) AS answer"
+        return f"WITH {canonical.SQL}{self.extra}\nSELECT {', '.join(out)} FROM (\n{self.sql}\n) AS answer"
 
 
 def on_tables(build: Callable[[canonical.Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """Adapt a function of the canonical tables to (spark, sf_dir)."""
     return lambda spark, sf_dir: build(canonical.tables(spark, sf_dir))
+
+
+def predicted_query(build: Callable[[predictions.Predicted], DataFrame], sql: str | None, columns: str) -> Query:
+    """A query over the stored predictions; its SQL may also use the prediction tables."""
+    return Query(lambda spark, sf_dir: build(predictions.predicted(spark, sf_dir)), sql, columns, f",\n{predictions.SQL}")
