@@ -180,40 +180,57 @@ def running(
     return out.withColumns(fixed).drop("_block", *[f"_c_{n}" for n in [*sums, *maxima]])
 
 
-def exact_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    quantiles: dict[str, float],
-    chunk: Column,
-) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row per key group.
+def histogram(df: DataFrame, keys: Sequence[str], value: str, chunk: Column) -> DataFrame:
+    """Distinct values of each group with counts and positions: _v, _n, _start, _end, _total.
 
-    Works on the histogram of distinct values, cut by ``chunk`` (never decreasing in the value),
-    so no group of values is held in one aggregation buffer.
+    ``_start`` is the 0-based position of the first row with that value in the sorted group.
+    ``chunk`` must never decrease in the value.
     """
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).alias("_v"), chunk.cast("long").alias("_chunk"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    chunks = counts.groupBy(*keys, "_chunk").agg(F.sum("_n").alias("_rows"))
     by_key = Window.partitionBy(*keys)
-    shifts = chunks.select(
-        *keys,
-        "_chunk",
-        F.coalesce(
-            F.sum("_rows").over(by_key.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_shift"),
-        F.sum("_rows").over(by_key).alias("_total"),
+    earlier = by_key.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = (
+        counts.groupBy(*keys, "_chunk")
+        .agg(F.sum("_n").alias("_rows"))
+        .select(
+            *keys, "_chunk", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_shift"), F.sum("_rows").over(by_key).alias("_total")
+        )
     )
     upto = Window.partitionBy(*keys, "_chunk").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = (
+    return (
         counts.withColumn("_end", F.sum("_n").over(upto))
         .join(shifts, [*keys, "_chunk"])
         .withColumn("_end", F.col("_end") + F.col("_shift"))
         .withColumn("_start", F.col("_end") - F.col("_n"))
+        .drop("_chunk", "_shift")
+    )
+
+
+def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str, chunk: Column) -> DataFrame:
+    """Add the 1-based rank of ``value`` in its group; equal values share their mean rank."""
+    ranks = histogram(df, keys, value, chunk).select(
+        *keys, F.col("_v").alias(value), (F.col("_start") + (F.col("_n") + 1) / 2.0).alias(name)
     )
+    return df.join(ranks, [*keys, value])
+
+
+def exact_quantiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    quantiles: dict[str, float],
+    chunk: Column,
+) -> DataFrame:
+    """Exact quantiles with linear interpolation, one row per key group.
+
+    Works on the histogram of distinct values, cut by ``chunk`` (never decreasing in the value),
+    so no group of values is held in one aggregation buffer.
+    """
+    placed = histogram(df, keys, value, chunk)
     aggs = []
     for name, q in quantiles.items():
         at = (F.col("_total") - 1) * F.lit(float(q))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paddock.suite import assembly, features, form, prediction, quality, report
+from paddock.suite import assembly, evaluation, features, form, prediction, quality, report, sessions
 from paddock.suite.base import Query
 
-QUERIES: dict[str, Query] = {**form.QUERIES, **features.QUERIES, **assembly.QUERIES, **quality.QUERIES, **prediction.QUERIES, **report.QUERIES}
+QUERIES: dict[str, Query] = {**form.QUERIES, **features.QUERIES, **assembly.QUERIES, **quality.QUERIES, **prediction.QUERIES, **report.QUERIES, **sessions.QUERIES, **evaluation.QUERIES}
