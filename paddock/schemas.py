@@ -1,16 +1,7 @@
-"""Explicit schemas of stored races, requests and source payloads."""
+"""Explicit schemas of stored races, requests and source payloads, as DDL text."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-_LAP = T.StructType([T.StructField("time_ms", T.LongType()), T.StructField("lap_number", T.IntegerType())])
-
-
-def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
-
-
 LAP = "struct<time_ms:bigint,lap_number:int>"
 
 WEATHER = (
@@ -27,8 +18,8 @@ QUALIFYING = (
     f"struct<driver_id:string,constructor_id:string,position:int,q1_time:{LAP},q2_time:{LAP},q3_time:{LAP}>"
 )
 
-STORED_RACE = _struct(
-    "season int, round int, circuit_id string, race_name string, date string, "
+STORED_RACE = (
+    "season int, round int, race_id string, part long, circuit_id string, race_name string, date string, "
     f"results array<{RESULT}>, qualifying array<{QUALIFYING}>, weather {WEATHER}, _corrupt_record string"
 )
 
@@ -46,12 +37,12 @@ _PAYLOAD_RACE = (
     f"Circuit:struct<circuitId:string>,Results:array<{_PAYLOAD_RESULT}>,"
     f"QualifyingResults:array<{_PAYLOAD_QUALIFYING}>>"
 )
-RACE_PAYLOAD = _struct(
+RACE_PAYLOAD = (
     f"MRData struct<RaceTable:struct<Races:array<{_PAYLOAD_RACE}>>>, _corrupt_record string"
 )
 
 _STANDING = "position:string,points:string,wins:string"
-STANDINGS_PAYLOAD = _struct(
+STANDINGS_PAYLOAD = (
     "MRData struct<StandingsTable:struct<season:string,StandingsLists:array<struct<season:string,round:string,"
     f"DriverStandings:array<struct<{_STANDING},Driver:struct<driverId:string>>>,"
     f"ConstructorStandings:array<struct<{_STANDING},Constructor:struct<constructorId:string>>>>>>>, "
@@ -66,4 +57,4 @@ REQUEST_WEATHER = (
     "struct<conditions:string,track_temp:double,air_temp:double,humidity:double,"
     "wind_speed:double,grip_level:double>"
 )
-REQUEST_CSV = _struct("race_name string, circuit string, date string, drivers string, weather string")
+REQUEST_CSV = ("race_name string, circuit string, date string, drivers string, weather string")
