@@ -215,18 +215,21 @@ def last_values(df: DataFrame, key: str, number: str, value: str, sizes: tuple[i
 
 
 def standings(results: DataFrame, entity: str) -> DataFrame:
-    """Cumulative points and rank of each entity after each round of a season.
+    """Cumulative points and rank of each entity after each round held in a season.
 
     Ranks come from the histogram of points totals, so no season is sorted as a whole.
     """
     scored = results.groupBy("season", "round", entity).agg(F.sum("points").alias("_points"))
-    last_round = results.groupBy("season").agg(F.max("round").alias("_final"))
+    # seasons times rounds held: a calendar, so small whatever the number of results
+    rounds = results.select("season", "round").distinct()
+    last_round = rounds.groupBy("season").agg(F.max("round").alias("_final"))
     own = Window.partitionBy("season", entity).orderBy("round")
     upto = own.rowsBetween(Window.unboundedPreceding, 0)
     totals = (
         scored.withColumns({"points": F.sum("_points").over(upto), "_next": F.lead("round").over(own)})
         .join(F.broadcast(last_round), "season")
         .withColumn("round", F.explode(F.sequence("round", F.coalesce(F.col("_next") - 1, F.col("_final")))))
+        .join(F.broadcast(rounds), ["season", "round"], "left_semi")
         .select("season", "round", entity, "points")
     )
     ahead = Window.partitionBy("season", "round").orderBy(F.col("points").desc())
