@@ -42,7 +42,7 @@ def core_metrics(long: DataFrame, within: tuple[int, ...] = (3, 5, 10)) -> DataF
         F.avg("size").alias("mae"),
         F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"),
         *[_percent(F.col("size") <= k).alias(f"within_{k}_pct") for k in within],
-        _percent(F.bround("y_pred") == F.col("y_true")).alias("exact_pct"),
+        _percent(F.rint("y_pred") == F.col("y_true")).alias("exact_pct"),
     )
     median = exact_quantiles(rows, ["model"], "size", {"median_absolute_error": 0.5}, F.floor(F.col("size") * 64)).drop("n_values")
     return base.join(median, "model").join(spearman(long), "model")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from paddock import values
 from paddock.functions import scores
 from paddock.operators.races import guarded_correlation
-from paddock.plans.blocks import framed, number_rows, running
+from paddock.plans.blocks import BLOCK, framed, number_rows, running
 
 BIG_FIELD = 20_000
 
@@ -166,16 +166,15 @@ def predict(base: DataFrame) -> DataFrame:
     adjusted (the model output) and spread (deviation across models).
     """
     n = F.col("n_drivers")
-    place = F.least(n, F.greatest(F.lit(1), F.bround("adjusted").cast("int")))
-    rows = base.withColumns(
+    place = F.least(n, F.greatest(F.lit(1), F.rint("adjusted").cast("int")))
+    # the wide columns are added last, so that they are not carried through the shuffles
+    return unique_positions(base.withColumn("_place", place), "_place").withColumns(
         {
-            "_place": place,
             "probability_distribution": scores.place_distribution(F.col("adjusted")),
-            "expected_points": scores.expected_points(place.cast("double")),
+            "expected_points": scores.expected_points(F.col("_place").cast("double")),
             "confidence_score": F.greatest(F.lit(0.1), F.least(F.lit(0.95), F.lit(1.0) - F.col("spread") / 5.0)),
         }
-    )
-    return unique_positions(rows, "_place").drop("_place")
+    ).drop("_place")
 
 
 def unique_positions(rows: DataFrame, place: str) -> DataFrame:
@@ -183,9 +182,8 @@ def unique_positions(rows: DataFrame, place: str) -> DataFrame:
     listed = number_rows(
         rows, ["race_id"], [F.col(place), F.col("result_idx")], F.col(place), "list_no", big=F.col("lines") > BIG_FIELD
     )
-    ahead = running(
-        listed, ["race_id"], "list_no", maxima={"_push": F.col(place) - F.col("list_no")}, source=None
-    )
+    long = rows.where(F.col("lines") > BLOCK).select("race_id").distinct()
+    ahead = running(listed, ["race_id"], "list_no", maxima={"_push": F.col(place) - F.col("list_no")}, long=long)
     return ahead.withColumn("predicted_position", F.least(F.col("n_drivers"), F.col("list_no") + F.col("_push"))).drop("_push")
 
 

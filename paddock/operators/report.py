@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from paddock import values
 from paddock.operators.prediction import BIG_FIELD, confidence_label, neighbours, top_rows
 from paddock.plans.blocks import framed, number_rows
-from paddock.plans.dominance import dominance_sums
+from paddock.plans.dominance import dominance_sums, largest_before
 
 _DIST = "probability_distribution"
 
@@ -128,16 +128,10 @@ def likely_overtakes(predictions: DataFrame, k: int = 5) -> DataFrame:
     Overtakers come by probability, then list order, and each has the same probability for all its
     targets; so the first k overtakers with a target are enough, and each needs k targets.
     """
-    rows = _overtakers(predictions)
-    largest = F.greatest(F.col("lines"), F.lit(20))
-    # targets of an overtaker start ahead and are predicted behind: larger place, smaller grid
-    targets = dominance_sums(
-        rows, ["race_id"], "driver_id", F.col("predicted_position"), F.col("grid"), {"n_targets": F.lit(1.0)}, largest
-    ).where(F.col("n_targets") > 0)
-    best = top_rows(
-        rows.where(F.col("probability").isNotNull()).join(targets.select("race_id", "driver_id"), ["race_id", "driver_id"], "left_semi"),
-        ["race_id"], [F.col("probability").desc(), F.col("list_no")], k,
-    )
+    # a target starts ahead and is predicted behind: look at the last place among all starting ahead
+    rows = largest_before(_overtakers(predictions), ["race_id"], F.col("grid"), F.col("predicted_position"), "_last")
+    able = rows.where(F.col("probability").isNotNull() & (F.col("_last") > F.col("predicted_position")))
+    best = top_rows(able, ["race_id"], [F.col("probability").desc(), F.col("list_no")], k)
     a = best.select(
         "race_id", "circuit", F.col("driver_id").alias("overtaker_id"), F.col("driver_name").alias("overtaker_name"), F.col("list_no").alias("_a"),
         F.col("grid").alias("_ga"), F.col("predicted_position").alias("_pa"), "probability",

@@ -142,18 +142,19 @@ def running(
     sums: dict[str, Column] | None = None,
     maxima: dict[str, Column] | None = None,
     block: int = BLOCK,
-    source: DataFrame | None = None,
+    long: DataFrame | None = None,
 ) -> DataFrame:
     """Running sums and maxima from the start of each group up to the row itself.
 
-    Only groups longer than one block need totals of earlier blocks. They are looked up in
-    ``source`` (a stored table with the keys and numbers, by default ``df``); there are at most
-    rows / block of them, which bounds the broadcast.
+    Only groups longer than one block need totals of earlier blocks. ``long`` may list their keys
+    (or the first few key columns) from a stored table, which is cheaper than finding them in
+    ``df``; there are at most rows / block of them, which bounds the broadcast.
     """
     sums, maxima = sums or {}, maxima or {}
     rows = df if "_block" in df.columns else with_blocks(df, number, block=block).drop("_own")
-    long = (df if source is None else source).where(F.col(number) > block).select(*keys).distinct()
-    totals = rows.join(F.broadcast(long), list(keys), "left_semi").groupBy(*keys, "_block").agg(
+    if long is None:
+        long = df.where(F.col(number) > block).select(*keys).distinct()
+    totals = rows.join(F.broadcast(long), long.columns, "left_semi").groupBy(*keys, "_block").agg(
         *[F.sum(c).alias(f"_c_{n}") for n, c in sums.items()],
         *[F.max(c).alias(f"_c_{n}") for n, c in maxima.items()],
     )

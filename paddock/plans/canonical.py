@@ -63,7 +63,7 @@ def days(column: str) -> Column:
 
 
 def _cents(column: str) -> Column:
-    return F.round(F.col(column) * 100).cast("long")
+    return F.rint(F.col(column) * 100).cast("long")
 
 
 def _race_headers(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
