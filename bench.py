@@ -53,6 +53,7 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="paddock-bench-"))
         .getOrCreate()
     )

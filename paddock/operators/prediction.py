@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from paddock import values
 from paddock.functions import scores
 from paddock.operators.races import guarded_correlation
+from paddock.plans.literals import literal_table
 from paddock.plans.blocks import BLOCK, framed, number_rows, running
 
 BIG_FIELD = 20_000
@@ -17,7 +18,8 @@ BIG_FIELD = 20_000
 
 def driver_table(spark: SparkSession) -> DataFrame:
     """Ratings of the known drivers (20 rows)."""
-    return spark.createDataFrame(
+    return literal_table(
+        spark,
         [(*d, 0, 0) for d in values.DRIVERS],
         "rating_id string, known_name string, team string, avg_finish double, skill double, steady double, wet_skill double, season_points int, season_wins int",
     )
@@ -25,7 +27,7 @@ def driver_table(spark: SparkSession) -> DataFrame:
 
 def team_table(spark: SparkSession) -> DataFrame:
     """Ratings of the known teams (10 rows)."""
-    return spark.createDataFrame([(k, *v) for k, v in values.TEAMS.items()], "team string, car double, reliability double, strategy double")
+    return literal_table(spark, [(k, *v) for k, v in values.TEAMS.items()], "team string, car double, reliability double, strategy double")
 
 
 def driver_list(spark: SparkSession) -> DataFrame:

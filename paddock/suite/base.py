@@ -31,7 +31,7 @@ class Query:
         out = []
         for name, kind in self._columns():
             column = F.col(name).cast(_SPARK[kind])
-            out.append((F.rint((column + _NUDGE) * 1e6) / 1e6 + F.lit(0.0) if kind == "d" else column).alias(name))
+            out.append((F.rint((column + _NUDGE) * 1e6) * 1e-6 + F.lit(0.0) if kind == "d" else column).alias(name))
         return self.build(spark, sf_dir).select(*out)
 
     def oracle(self) -> str | None:
@@ -40,7 +40,7 @@ class Query:
         out = []
         for name, kind in self._columns():
             column = f"CAST({name} AS {_DUCK[kind]})"
-            out.append(f"{f'round(({column} + {_NUDGE}) * 1e6) / 1e6 + 0.0' if kind == 'd' else column} AS {name}")
+            out.append(f"{f'round(({column} + {_NUDGE}::DOUBLE) * 1e6::DOUBLE) * 1e-6::DOUBLE + 0.0::DOUBLE' if kind == 'd' else column} AS {name}")
         return f"WITH {canonical.SQL}{self.extra}\nSELECT {', '.join(out)} FROM (\n{self.sql}\n) AS answer"
 
 
