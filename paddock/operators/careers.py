@@ -59,13 +59,12 @@ def performance_trend(results: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def recent_form(results: DataFrame, window: int = 5) -> DataFrame:
     """Form score of the last ``window`` starts, later starts weighing more."""
-    ends = results.groupBy("driver_id").agg(F.max("start_no").alias("_last"))
     score = scores.race_score(F.col("final_position"), F.col("points"), F.col("finished"))
-    tail = results.join(ends, "driver_id").where(F.col("start_no") > F.col("_last") - window)
+    rows = results.select("driver_id", "start_no", score.alias("score"))
+    tail = edge_rows(rows, ["driver_id"], "start_no", window).where(F.col("from_end") <= window)
+    starts = F.array_sort(F.collect_list(F.struct("start_no", "score")))
     return tail.groupBy("driver_id").agg(
-        scores.weighted_form(
-            F.transform(F.array_sort(F.collect_list(F.struct("start_no", score.alias("score")))), lambda x: x["score"])
-        ).alias("recent_form")
+        scores.weighted_form(F.transform(starts, lambda x: x["score"])).alias("recent_form")
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paddock import values
 from paddock.functions import scores
-from paddock.plans.blocks import BLOCK, framed, number_rows
+from paddock.plans.blocks import BLOCK, edge_rows, framed, number_rows
 
 
 def classified_place() -> Column:
@@ -204,10 +204,9 @@ def _calendar(rows: DataFrame, race: DataFrame, window: int) -> tuple[DataFrame,
 def last_values(df: DataFrame, key: str, number: str, value: str, sizes: tuple[int, ...], lags: tuple[int, ...]) -> DataFrame:
     """Averages over the last n values of a series for several n (all values if fewer), and lags."""
     depth = max(*sizes, *(lag + 1 for lag in lags))
-    # keep only the tail of each series: numbers are dense, so the cut is exact
-    ends = df.groupBy(key).agg(F.max(number).alias("_last"))
-    age = F.col("_last") - F.col(number)
-    tail = df.join(ends, key).where(age < depth)
+    tail = edge_rows(df.select(key, number, value), [key], number, depth)
+    age = F.col("from_end") - 1
+    tail = tail.where(age < depth)
     return tail.groupBy(key).agg(
         *[F.avg(F.when(age < n, F.col(value))).alias(f"rolling_avg_{n}") for n in sizes],
         *[F.max(F.when(age == lag, F.col(value))).alias(f"lag_{lag}") for lag in lags],
