@@ -49,13 +49,17 @@ def points_for(position: Column) -> Column:
     ).otherwise(F.lit(0.0))
 
 
+_local: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a local one only where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="paddock-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="paddock-"))
+    return _local[0]
 
 
 def days(column: str) -> Column:

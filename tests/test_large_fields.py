@@ -29,3 +29,18 @@ def test_predictions_of_cut_races(spark, monkeypatch):
     usual = report.podium_battles(p.predictions).select(*pairs).collect()
     monkeypatch.setattr(report, "BIG_FIELD", 5)
     assert sorted(usual) == sorted(report.podium_battles(p.predictions).select(*pairs).collect())
+
+
+class _Bare:
+    """A session without a checkpoint folder."""
+
+    class conf:  # noqa: N801
+        get = staticmethod(lambda name, default=None: default)
+
+    class sparkContext:  # noqa: N801
+        getCheckpointDir = staticmethod(lambda: None)
+
+
+def test_folder_of_session(spark):
+    assert canonical.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert canonical.shared_folder(_Bare) == canonical.shared_folder(_Bare)
