@@ -143,7 +143,7 @@ class Words:
             return
         bytes_at = np.flatnonzero(inside)
         within = np.arange(len(bytes_at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        values = _TABLE[data[bytes_at]] * _powers(int(lengths.max()))[within]
+        values = _TABLE[data[bytes_at]] * powers(int(lengths.max()))[within]
         sums = np.add.reduceat(values, np.cumsum(lengths) - lengths)
         self.hashes = mix(sums, lengths.astype(np.uint64))
 
@@ -151,7 +151,7 @@ class Words:
 _POWERS = np.ones(1, np.uint64)
 
 
-def _powers(n: int) -> np.ndarray:
+def powers(n: int) -> np.ndarray:
     global _POWERS
     if len(_POWERS) < n:
         size = max(n, 256)

@@ -6,16 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paddock.llm import sharding
+from paddock.llm import packing, sharding
 from paddock.llm.common import table
 
 
+#: file of a public tokenizer, by its name in the installed collection
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
 def _documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: operator(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": _documents(sharding.sharded),
+    "op9_packing": _documents(lambda docs: packing.packed(docs, tokenizer())),
 }
 
 SQL: dict[str, str] = {}
