@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paddock.llm import packing, sharding
+from paddock.llm import decontamination, packing, sharding
 from paddock.llm.common import table
 
 
@@ -25,8 +25,11 @@ def _documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": lambda spark, sf_dir: decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op2_sharding": _documents(sharding.sharded),
     "op9_packing": _documents(lambda docs: packing.packed(docs, tokenizer())),
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_decontamination": decontamination.SQL,
+}
