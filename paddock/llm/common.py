@@ -120,20 +120,19 @@ def byte_codes(data: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Words of a chunk of texts: 64-bit hashes, byte places and row bounds."""
+    """Words of a chunk of texts: 64-bit hashes, byte places and row bounds. A word is a stretch of bytes of
+    one kind other than 0 (separators) inside a row."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, is_word: np.ndarray) -> None:
-        inside = is_word[data]
-        first = inside.copy()
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, kinds: np.ndarray) -> None:
+        kind = kinds[data]
+        inside = kind != 0
+        first, last = inside.copy(), inside.copy()
         if len(data):
-            first[1:] &= ~inside[:-1]
-            edges = bounds[:-1][(bounds[:-1] > 0) & (bounds[:-1] < len(data))]
-            first[edges] = inside[edges]
-        last = np.zeros(len(data), bool)
-        if len(data):
-            last[:-1] = inside[:-1] & ~inside[1:]
-            last[-1] = inside[-1]
-            last[edges - 1] = inside[edges - 1]
+            change = kind[1:] != kind[:-1]
+            edges = bounds[1:-1][(bounds[1:-1] > 0) & (bounds[1:-1] < len(data))]
+            change[edges - 1] = True
+            first[1:] &= change
+            last[:-1] &= change
         self.starts = np.flatnonzero(first)
         self.ends = np.flatnonzero(last) + 1
         self.rows = np.searchsorted(self.starts, bounds)  # word bounds of each row
@@ -159,9 +158,9 @@ def powers(n: int) -> np.ndarray:
     return _POWERS
 
 
-def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
-    """Lookup of 256 flags, true outside the given ranges of separators."""
-    out = np.ones(256, bool)
-    for low, high in ranges:
-        out[low : high + 1] = False
+def byte_kinds(*ranges: tuple[int, int, int]) -> np.ndarray:
+    """Kinds of the 256 bytes: 1 outside the ranges (first, last, kind)."""
+    out = np.ones(256, np.uint8)
+    for low, high, kind in ranges:
+        out[low : high + 1] = kind
     return out

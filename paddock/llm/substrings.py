@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paddock.llm.anchors import Found, Runs, Windows, cuts, identified, kept_units, repeated
-from paddock.llm.common import Words, byte_class, chunks, flat, gram_hashes, mix, ragged
+from paddock.llm.common import Words, byte_kinds, chunks, flat, gram_hashes, mix, ragged
 
 #: words are everything but white space of ASCII
-IS_WORD = byte_class((0x09, 0x0D), (0x20, 0x20))
+IS_WORD = byte_kinds((0x09, 0x0D, 0), (0x20, 0x20, 0))
 LENGTH = 35
 
 

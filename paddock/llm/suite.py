@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paddock.llm import decontamination, packing, sharding, substrings, suffixes
+from paddock.llm import decontamination, language, packing, quality, sharding, substrings, suffixes
 from paddock.llm.common import table
 
 
@@ -27,6 +27,8 @@ def _documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": lambda spark, sf_dir: decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op2_sharding": _documents(sharding.sharded),
+    "op3_quality": lambda spark, sf_dir: quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+    "op4_language": _documents(language.report),
     "op5_suffixes": _documents(suffixes.report),
     "op8_substrings": _documents(substrings.report),
     "op9_packing": _documents(lambda docs: packing.packed(docs, tokenizer())),
