@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paddock.llm import decontamination, language, packing, quality, sharding, substrings, suffixes
+from paddock.llm import decontamination, language, minhash, packing, quality, sharding, substrings, suffixes
 from paddock.llm.common import table
 
 
@@ -32,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_suffixes": _documents(suffixes.report),
     "op8_substrings": _documents(substrings.report),
     "op9_packing": _documents(lambda docs: packing.packed(docs, tokenizer())),
+    "op10_minhash": _documents(minhash.report),
 }
 
 SQL: dict[str, str] = {
