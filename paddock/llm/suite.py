@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paddock.llm import decontamination, embeddings, language, minhash, packing, quality, sharding, substrings, suffixes
+from paddock.llm import decontamination, embeddings, language, licenses, minhash, packing, quality, sharding, substrings, suffixes
 from paddock.llm.common import table
 
 
@@ -30,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": lambda spark, sf_dir: quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op4_language": _documents(language.report),
     "op5_suffixes": _documents(suffixes.report),
+    "op6_licenses": _documents(licenses.report),
     "op7_embeddings": lambda spark, sf_dir: embeddings.report(table(spark, sf_dir, "embeddings")),
     "op8_substrings": _documents(substrings.report),
     "op9_packing": _documents(lambda docs: packing.packed(docs, tokenizer())),
