@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_own_names(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The same columns, named so that they cannot clash with an operator's: doc_id, text and c0, c1, ...
+    `toDF` with the old names undoes it."""
+    return docs.toDF(*["doc_id" if c == id_col else "text" if c == text_col else f"c{i}" for i, c in enumerate(docs.columns)])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a local one only where the setting is missing and the master is local."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

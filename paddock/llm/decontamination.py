@@ -17,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paddock.llm.common import with_own_names
+
 # ASCII control characters, signs and (after lower-casing) nothing else separate words
 SEPARATORS = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
 WORD = rf"[^{SEPARATORS}]+"
@@ -129,16 +131,18 @@ def report(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame, n: int = 10, spans: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without any hit; with `spans` all documents, and the words that are hit go from their
     texts together with the separators that follow them. All columns stay."""
-    found = hits(docs, items, n, id_col, text_col).where(F.size("spans") > 0)
+    names = docs.columns
+    docs = with_own_names(docs, id_col, text_col)
+    found = hits(docs, items, n).where(F.size("spans") > 0)
     found = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text_hash"), F.col("spans").alias("_spans"))
-    same = docs[id_col].eqNullSafe(found["_id"]) & (F.xxhash64(docs[text_col]) == found["_text_hash"])
+    same = docs["doc_id"].eqNullSafe(found["_id"]) & (F.xxhash64(docs["text"]) == found["_text_hash"])
     if not spans:
-        return docs.join(found.hint("shuffle_hash"), same, "left_anti")
-    lead = F.regexp_extract(F.col(text_col), rf"^[{SEPARATORS}&&[^A-Z]]*", 0)
-    units = F.regexp_extract_all(F.substring(F.col(text_col), F.length(lead) + 1, F.length(text_col)), F.lit(rf"(?:[^{SEPARATORS}]|[A-Z])+[{SEPARATORS}&&[^A-Z]]*"), F.lit(0))
+        return docs.join(found.hint("shuffle_hash"), same, "left_anti").toDF(*names)
+    lead = F.regexp_extract("text", rf"^[{SEPARATORS}&&[^A-Z]]*", 0)
+    units = F.regexp_extract_all(F.substring("text", F.length(lead) + 1, F.length("text")), F.lit(rf"(?:[^{SEPARATORS}]|[A-Z])+[{SEPARATORS}&&[^A-Z]]*"), F.lit(0))
     kept = F.filter(units, lambda _, i: ~F.exists("_spans", lambda s: (i >= s["b"]) & (i < s["e"])))
-    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(F.concat(lead, F.array_join(kept, "")))
-    return docs.join(found.hint("shuffle_hash"), same, "left").withColumn(text_col, text).select(*docs.columns)
+    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.concat(lead, F.array_join(kept, "")))
+    return docs.join(found.hint("shuffle_hash"), same, "left").withColumn("text", text).select(*docs.columns).toDF(*names)
 
 
 _CLASS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

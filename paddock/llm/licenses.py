@@ -5,7 +5,7 @@ family or `unknown`. It is trained on notices made from the names of the familie
 on a bounded sample of the corpus' own paragraphs without any license word. The unknown class is calibrated: a family counts only
 above the probability that the training paragraphs held back as unknown do not reach. Then the
 prediction must be confirmed by a template: the paragraph has the mark of a name of that family and at least
-three quarters of the name's words. A paragraph without any mark can therefore not be confirmed, and is not scored.
+three quarters of the name's pairs of words. A paragraph without any mark can therefore not be confirmed, and is not scored.
 
 Rows: a null text has no paragraphs. Rows with the same id and text (repeated rows) give one result row; a null
 id is an id. Empty tables give no rows; other columns are ignored.
@@ -94,13 +94,20 @@ def fit(docs: DataFrame, text_col: str = "text") -> tuple[PipelineModel, list[st
     return model, labels, max(LEAST, min(reached or 0.0, 0.9))
 
 
+def _plain(word: str) -> bool:
+    return not word.isdigit() and word != "version"
+
+
 def confirmed(tokens: Column, family: Column) -> Column:
-    """Does a template of the family agree?"""
+    """Does a template of the family agree? Compares pairs of words; numbers and "version" do not count."""
+    plain = F.filter(tokens, lambda w: ~w.rlike("^[0-9]+$") & (w != "version"))
+    pairs = F.filter(grams(plain), lambda g: g.contains(" "))
 
     def name(mark: str, text: str) -> Column:
-        own = sorted(set("".join(c if c.isalnum() else " " for c in text.lower()).split()))
-        inside = F.size(F.array_intersect(tokens, F.array(*map(F.lit, own)))) >= CONTAINED * len(own)
-        return F.array_contains(tokens, mark) & inside
+        own = [w for w in "".join(c if c.isalnum() else " " for c in text.lower()).split() if _plain(w)]
+        both = [f"{x} {y}" for x, y in zip(own, own[1:], strict=False)]
+        agree = F.size(F.array_intersect(pairs, F.array(*map(F.lit, both)))) >= CONTAINED * len(set(both)) if both else F.lit(True)
+        return F.array_contains(tokens, mark) & agree
 
     out = F.lit(False)
     for key, names in NAMES.items():

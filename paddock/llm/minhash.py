@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paddock.llm.anchors import identified
-from paddock.llm.common import Words, byte_kinds, chunks, flat, gram_hashes, mix, numbers, partitions, saved
+from paddock.llm.common import Words, byte_kinds, chunks, flat, gram_hashes, mix, numbers, partitions, saved, with_own_names
 from paddock.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -266,6 +266,8 @@ def report(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 def distinct_documents(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of the documents that stay, one per class, with all their columns."""
-    gone = classes(docs, similarity, id_col, text_col).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone"))
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
-    return docs.join(gone.hint("shuffle_hash"), key == F.col("_gone"), "left_anti")
+    names = docs.columns
+    docs = with_own_names(docs, id_col, text_col)
+    gone = classes(docs, similarity).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone"))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    return docs.join(gone.hint("shuffle_hash"), key == F.col("_gone"), "left_anti").toDF(*names)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paddock.llm.common import Words, byte_kinds, chunks, flat, gram_hashes, saved
+from paddock.llm.common import Words, byte_kinds, chunks, flat, gram_hashes, saved, with_own_names
 
 BUCKETS = 10_000
 #: labelled good documents of which the target model is made, at most
@@ -154,5 +154,6 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def selected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that the sample keeps, with all their columns."""
-    model = fit(docs, labels, id_col, text_col)
-    return scored(docs, model.log_ratio, id_col, text_col).where(F.col("sample_key") >= model.threshold).select(*docs.columns)
+    own = with_own_names(docs, id_col, text_col)
+    model = fit(own, labels.withColumnRenamed(id_col, "doc_id"))
+    return scored(own, model.log_ratio).where(F.col("sample_key") >= model.threshold).select(*own.columns).toDF(*docs.columns)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paddock.llm.anchors import Found, Runs, Windows, cuts, identified, kept_units, repeated
-from paddock.llm.common import Words, byte_kinds, chunks, flat, gram_hashes, mix, ragged
+from paddock.llm.common import Words, byte_kinds, chunks, flat, gram_hashes, mix, ragged, with_own_names
 
 #: words are everything but white space of ASCII
 IS_WORD = byte_kinds((0x09, 0x0D, 0), (0x20, 0x20, 0))
@@ -135,16 +135,17 @@ def report(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_c
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns; the words of duplicate spans, each with the white space after it, go from the text."""
-    own = identified(docs, id_col, text_col)
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
-    found = spans(own, length).select(F.col("doc_id").alias("_key"), F.col("spans").alias("_spans"))
+    names = docs.columns
+    docs = with_own_names(docs, id_col, text_col)
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    found = spans(identified(docs, "doc_id", "text"), length).select(F.col("doc_id").alias("_key"), F.col("spans").alias("_spans"))
     joined = docs.join(found.hint("shuffle_hash"), key == F.col("_key"), "left").drop("_key")
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, text_col):
-            data, bounds = flat(batch.column(text_col))
+        for batch in chunks(batches, "text"):
+            data, bounds = flat(batch.column("text"))
             words = Words(data, bounds, IS_WORD)
-            texts = batch.column(text_col).to_pylist()
+            texts = batch.column("text").to_pylist()
             for row, found in enumerate(batch.column("_spans").to_pylist()):
                 a, b = int(words.rows[row]), int(words.rows[row + 1])
                 keep = kept_units(found, b - a)
@@ -153,7 +154,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
                 raw, origin = data[bounds[row] : bounds[row + 1]].tobytes(), int(bounds[row])
                 edge = np.append(words.starts[a:b], bounds[row + 1]) - origin
                 texts[row] = (raw[: edge[0]] + b"".join(raw[edge[x] : edge[y]] for x, y in cuts(keep) if keep[x])).decode()
-            at = batch.schema.get_field_index(text_col)
-            yield batch.set_column(at, text_col, pa.array(texts, pa.string())).drop_columns(["_spans"])
+            at = batch.schema.get_field_index("text")
+            yield batch.set_column(at, "text", pa.array(texts, pa.string())).drop_columns(["_spans"])
 
-    return joined.mapInArrow(removed, docs.schema)
+    return joined.mapInArrow(removed, docs.schema).toDF(*names)
