@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +29,9 @@ from paddock.llm.common import CHUNK, chunks, flat, gram_hashes, numbers, partit
 
 #: anchors that a task gathers before it sends them
 GATHERED = 2_000_000
-#: bytes of an anchor's hash that are sent; the bucket holds more of it
-HASH_BYTES = 5
+#: bytes of an anchor's hash that are sent; the bucket holds more of it, and there are the more buckets
+#: the more anchors. Two anchors with equal hashes are only compared in vain.
+HASH_BYTES = 4
 
 Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
@@ -99,7 +101,7 @@ def find_runs(codes: np.ndarray, bounds: np.ndarray, w: Windows) -> Found:
 
 
 def bucket_of(anchor: np.ndarray, buckets: int) -> np.ndarray:
-    return ((anchor >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+    return ((anchor >> np.uint64(8 * HASH_BYTES)) % np.uint64(buckets)).astype(np.int64)
 
 
 def low(anchor: np.ndarray) -> np.ndarray:
@@ -238,7 +240,16 @@ class Runs:
         return Runs(self.owner[which], self.anchor[which], self.count[which], self.times[which], self.occurrences(which)[1], self.values[ragged(self.offsets[:-1][which], self.sizes[which])], self.extra)
 
     def packed(self) -> tuple[bytes, ...]:
-        return (self.owner.astype("<i8").tobytes(), self.anchor.astype("<u8").tobytes(), self.count.astype("<u2").tobytes(), self.times.astype("<i4").tobytes(), self.starts.astype("<i4").tobytes(), self.values.tobytes())
+        return (self.owner.astype("<i8").tobytes(), self.anchor.astype("<u8").tobytes(), self.count.astype("<u2").tobytes(), self.times.astype("<i4").tobytes(), self.starts.astype("<i4").tobytes(), _small(self.values))
+
+
+def _small(values: np.ndarray) -> bytes:
+    """Text is compressed, hashes cannot be."""
+    return zstandard.ZstdCompressor(level=3).compress(values.tobytes()) if values.dtype == np.uint8 else values.tobytes()
+
+
+def _large(data: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data) if kind == "<u1" else data, kind)
 
 
 _PACKED = ("owner", "anchor", "count", "times", "starts", "values")
@@ -277,7 +288,7 @@ def repeated(
     bucket and returns owner, first window and last window + 1 of stretches that are covered.
     """
     spark = docs.sparkSession
-    buckets = 4 * partitions(spark)
+    buckets = 2 * partitions(spark)
     marks = shared(docs, w, buckets).groupBy("doc_id").agg(F.collect_list("hashes").alias("marks"))
     within = w.within
 
@@ -341,7 +352,7 @@ def repeated(
                 first.append(np.frombuffer(row[4], "<i4"))
                 end.append(np.frombuffer(row[5], "<i4"))
             else:
-                parts.append([np.frombuffer(x, k) for x, k in zip(row, (*_KINDS, kind), strict=True)])
+                parts.append([*(np.frombuffer(x, k) for x, k in zip(row, _KINDS, strict=False)), _large(row[5], kind)])
         if parts:
             columns = [np.concatenate([p[i] for p in parts]) for i in range(6)]
             runs = Runs(columns[0], columns[1], columns[2].astype(np.int64), columns[3].astype(np.int64), columns[4].astype(np.int64), columns[5], extra)
