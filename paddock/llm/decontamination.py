@@ -75,7 +75,7 @@ def windows(items: DataFrame, n: int = 10, id_col: str = "item_id", text_col: st
     distinct = own.select("_item", F.explode(cut).alias("_window")).groupBy("_window").agg(F.sort_array(F.collect_set("_item")).alias("_items"))
     # the hash of a window is the only window hash of its own words
     parts = [_window_hashes(distinct.where(F.size("_window") == k).withColumn("_words", F.col("_window")), [k]) for k in lengths]
-    found = reduce(DataFrame.unionByName, [p.select(F.col("_hashes")[0].alias("_hash"), "_window", "_items") for p in parts])
+    found = reduce(DataFrame.unionByName, [p.select(F.get("_hashes", F.lit(0)).alias("_hash"), "_window", "_items") for p in parts])
     return found, lengths, found.count()
 
 
