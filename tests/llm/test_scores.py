@@ -83,7 +83,7 @@ def test_out_of_place_distance():
 def test_licenses(spark, no_docs):
     texts = [
         (1, "Some text.\nLicensed under the Apache License, Version 2.0.\nmore"), (2, "Released under the MIT License."), (3, "Licensed under CC BY-NC 4.0."),
-        (4, "This work is licensed under the GNU General Public License, version 3.\nReleased under the MIT License."), (5, "ein Satz mit License und mehr Text"),
+        (4, "This work is licensed under the GNU General Public License, version 3.\nReleased under the MIT License."), (5, "ein Satz mit der License und mehr Text"),
         (6, None), (7, ""), (8, "Licensed under the house rules of the owner"), (9, "GNU Lesser General Public License, version 2.1"), (2, "Released under the MIT License."), (None, "BSD 3-Clause License"),
     ]
     docs = documents(spark, texts)
