@@ -9,9 +9,9 @@ that share a key are candidates; a candidate pair is a link if its similarity, c
 classes, named by their smallest id.
 
 A key may be shared by very many documents, so pairs are not listed. Documents with the same bag are one
-class from the start and one of them stands for all. In each round, a document is compared to one document
-with which it shares a key and not yet a class; after the rounds, every pair that shares a key but no class is
-compared. Pairs inside a class need no test, so no class is missed that all pairs would give.
+class from the start and one of them stands for all. Each document is compared to two documents with which it
+shares a key; then every pair that shares a key but no class yet is compared. Pairs inside a class need no
+test, so no class is missed that all pairs would give.
 
 Random numbers of the samples come from a table of 2^16 draws; which one a shingle gets, and 32 bits that tell
 shingles with the same draw apart, come from its hash.
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paddock.llm.anchors import identified
-from paddock.llm.common import Words, byte_kinds, chunks, flat, gram_hashes, mix, numbers, partitions, saved, with_own_names
+from paddock.llm.common import Words, byte_kinds, chunks, flat, gram_hashes, mix, numbers, partitions, ragged, saved, with_own_names
 from paddock.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -43,10 +43,8 @@ SLOTS = 2**16
 DRAWS = 2**16
 #: steps of the logarithm of a weight per unit; weights are rounded to them for sampling
 STEPS = 4
-#: documents that are compared to one document in a task
+#: documents that are compared to one document, or make a block that is compared to another, at once
 GROUP = 256
-#: rounds of one comparison per document before all open pairs are compared
-ROUNDS = 3
 
 _KINDS = byte_kinds((0x00, 0x2F, 0), (0x3A, 0x40, 0), (0x5B, 0x60, 0), (0x7B, 0x7F, 0))
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -170,18 +168,38 @@ def _signed(own: DataFrame, weight_of: np.ndarray) -> DataFrame:
     return own.mapInArrow(sign, "doc_id long, bag long, keys array<long>")
 
 
-def similar(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], weight_of: np.ndarray) -> float:
-    """The larger of weighted and plain Jaccard similarity of two bags (shingles in order, counts)."""
-    common, at, bt = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    if len(common) == 0:
-        return 0.0
-    plain = len(common) / (len(a[0]) + len(b[0]) - len(common))
-    both = float((np.minimum(a[1][at], b[1][bt]) * weight_of[slot(common)]).sum())
-    either = sum(float((x[1] * weight_of[slot(x[0])]).sum()) for x in (a, b)) - both
-    return max(plain, both / either)
+class Bags:
+    """The bags of a table of texts, to compare one with many."""
 
+    def __init__(self, column: pa.ChunkedArray, weight_of: np.ndarray) -> None:
+        rows, self.shingles, self.counts = bags(*flat(column))
+        self.edge = np.searchsorted(rows, np.arange(len(column) + 1))
+        self.weight = weight_of[slot(self.shingles)]
+        self.sizes = np.diff(self.edge)
+        self.totals = np.bincount(rows, weights=self.counts * self.weight, minlength=len(column))
 
-def _verified(pairs: DataFrame, texts: DataFrame, weight_of: np.ndarray, similarity: float) -> DataFrame:
+    def similarity(self, one: int, many: np.ndarray) -> np.ndarray:
+        """The larger of weighted and plain Jaccard similarity of one bag with each of many."""
+        own = slice(self.edge[one], self.edge[one + 1])
+        mine, counts = self.shingles[own], self.counts[own]
+        if len(mine) == 0:
+            return np.zeros(len(many))
+        at = ragged(self.edge[many], self.sizes[many])
+        of = np.repeat(np.arange(len(many)), self.sizes[many])
+        theirs = self.shingles[at]
+        place = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+        hit = np.flatnonzero(mine[place] == theirs)
+        common = np.bincount(of[hit], minlength=len(many))
+        shared = np.bincount(of[hit], weights=np.minimum(self.counts[at[hit]], counts[place[hit]]) * self.weight[at[hit]], minlength=len(many))
+        plain = common / (self.sizes[one] + self.sizes[many] - common)
+        return np.maximum(plain, shared / (self.totals[one] + self.totals[many] - shared))
+
+
+def _linked(a: np.ndarray, b: np.ndarray, linked: np.ndarray) -> pa.Table:
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "linked": pa.array(linked, pa.bool_())})
+
+
+def _with_one(pairs: DataFrame, texts: DataFrame, weight_of: np.ndarray, similarity: float) -> DataFrame:
     """(a, b, linked) of pairs (a, b). All b of an a meet in groups of at most some GROUP rows, each with one
     copy of the text of a."""
     spark = pairs.sparkSession
@@ -189,27 +207,69 @@ def _verified(pairs: DataFrame, texts: DataFrame, weight_of: np.ndarray, similar
     sizes = pairs.groupBy("a").count()
     salted = pairs.join(sizes, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.col("count") / GROUP)).cast("int"))
     salted = saved(salted.select("a", "b", "part"), "pairs")
-    buckets = max(4 * partitions(spark), 1)
-    bucket = F.pmod(F.xxhash64("a", "part"), F.lit(buckets)).alias("bucket")
+    bucket = F.pmod(F.xxhash64("a", "part"), F.lit(4 * partitions(spark))).alias("bucket")
     members = salted.join(texts, salted["b"] == texts["doc_id"]).select(bucket, "a", "b", "part", "text")
     leaders = salted.select("a", "part").distinct().join(texts, F.col("a") == F.col("doc_id")).select(bucket, "a", F.lit(None).cast("long").alias("b"), "part", "text")
 
     def verify(table: pa.Table) -> pa.Table:
         weights, least = sent.value
+        table = table.sort_by([("a", "ascending"), ("part", "ascending"), ("b", "ascending")])
         a, part = numbers(table.column("a").combine_chunks()), table.column("part").to_numpy()
         b = numbers(table.column("b").combine_chunks())
         leads = table.column("b").is_null().to_numpy()
-        rows, shingles, counts = bags(*flat(table.column("text")))
-        edge = np.searchsorted(rows, np.arange(len(a) + 1))
-        bag = lambda i: (shingles[edge[i] : edge[i + 1]], counts[edge[i] : edge[i + 1]])
-        lead = {(int(a[i]), int(part[i])): bag(i) for i in np.flatnonzero(leads)}
-        rest = np.flatnonzero(~leads)
-        linked = [similar(lead[int(a[i]), int(part[i])], bag(i), weights) >= least for i in rest]
-        return pa.table({"a": pa.array(a[rest]), "b": pa.array(b[rest]), "linked": pa.array(linked, pa.bool_())})
+        have = Bags(table.column("text"), weights)
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (part[1:] != part[:-1])])
+        edge = np.append(np.flatnonzero(new), len(a))
+        found = []
+        for x, y in zip(edge[:-1], edge[1:], strict=True):
+            group = np.arange(x, y)
+            rest = group[~leads[x:y]]
+            found.append((a[rest], b[rest], have.similarity(int(group[leads[x:y]][0]), rest) >= least))
+        return _linked(*(np.concatenate([f[i] for f in found]) for i in range(3)))
 
     return saved(members.unionByName(leaders).groupBy("bucket").applyInArrow(verify, "a long, b long, linked boolean"), "verified")
 
 
+def _with_all(rows: DataFrame, texts: DataFrame, weight_of: np.ndarray, similarity: float) -> DataFrame:
+    """(a, b, linked) of the links among documents (key, id, label) that share a key but not a label. The documents of
+    a key are dealt into blocks of at most some GROUP, and every two blocks meet once. A pair with several common
+    keys is compared under the first."""
+    spark = rows.sparkSession
+    sent = spark.sparkContext.broadcast((weight_of, similarity))
+    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", "id", "label", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    bucket = F.pmod(F.xxhash64("key", "low", "high"), F.lit(4 * partitions(spark))).alias("bucket")
+    dealt = dealt.join(texts, dealt["id"] == texts["doc_id"]).select(bucket, "key", "id", "label", "block", "low", "high", "keys", "text")
+
+    def verify(table: pa.Table) -> pa.Table:
+        weights, least = sent.value
+        table = table.sort_by([("key", "ascending"), ("low", "ascending"), ("high", "ascending"), ("id", "ascending")])
+        key, doc, label, block, low, high = (table.column(c).to_numpy() for c in ("key", "id", "label", "block", "low", "high"))
+        keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(len(key), BANDS)
+        have = Bags(table.column("text"), weights)
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
+        edge = np.append(np.flatnonzero(new), len(key))
+        found = [(doc[:0], doc[:0])]
+        for x, y in zip(edge[:-1], edge[1:], strict=True):
+            if label[x:y].min() == label[x:y].max():
+                continue
+            for one in range(x, y):
+                # within a block each pair once, between two blocks from the first
+                ahead = np.arange(one + 1, y) if low[x] == high[x] else x + np.flatnonzero(block[x:y] == high[x]) if block[one] == low[x] else np.zeros(0, np.int64)
+                ahead = ahead[label[ahead] != label[one]]
+                same = keys[ahead] == keys[one]
+                ahead = ahead[keys[one][same.argmax(1)] == key[x]]
+                if len(ahead):
+                    near = ahead[have.similarity(one, ahead) >= least]
+                    found.append((np.full(len(near), doc[one]), doc[near]))
+        a, b = (np.concatenate([f[i] for f in found]) for i in range(2))
+        return _linked(a, b, np.ones(len(a), bool))
+
+    return saved(dealt.groupBy("bucket").applyInArrow(verify, "a long, b long, linked boolean"), "verified")
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id) of all documents, one row per id; class_id is the smallest id of the class."""
     own = identified(docs, id_col, text_col)
@@ -222,34 +282,26 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_
     keyed = reps.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
     several = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     held = saved(keyed.join(several.select("key"), "key"), "keyed")  # keys of two representatives or more
-    texts = saved(own.join(held.select(F.col("id").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-
-    tested = labels = None
-    for turn in range(ROUNDS + 1):
-        rows = held.withColumn("label", F.col("id")) if labels is None else held.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-        open_keys = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct((F.xxhash64(F.lit(turn), "id") if turn else F.col("id")).alias("order"), "id", "label")).alias("pivot")).where("low < high")
-        rows = saved(rows.join(open_keys.select("key", F.col("pivot.id").alias("pivot"), F.col("pivot.label").alias("pivot_label")), "key"), "open")
-        if turn < ROUNDS:
-            ask = rows.where("label <> pivot_label").select("id", "pivot")
-            if tested is not None:
-                ask = ask.join(tested.select(F.col("a").alias("pivot"), F.col("b").alias("id")), ["pivot", "id"], "left_anti")
-                ask = ask.join(tested.select("a", "b"), (F.col("a") == F.col("id")) & (F.col("b") == F.col("pivot")), "left_anti")
-            pairs = ask.groupBy("id").agg(F.min(F.struct((F.xxhash64("pivot") if turn else F.col("pivot")).alias("order"), "pivot"))["pivot"].alias("a")).select("a", F.col("id").alias("b"))
-        else:
-            left = rows.select("key", F.col("id").alias("a"), F.col("label").alias("la"))
-            right = rows.select("key", F.col("id").alias("b"), F.col("label").alias("lb"))
-            pairs = left.join(right, "key").where("a < b and la <> lb").select("a", "b").distinct()
-            if tested is not None:
-                pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti").join(tested.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-        pairs = saved(pairs, "ask")
-        if pairs.isEmpty():
-            if turn < ROUNDS:
-                continue
-            break
-        found = _verified(pairs, texts, weight_of, similarity)
-        tested = found if tested is None else tested.unionByName(found)
-        labels = components(tested.where("linked").select("a", "b"))
-    joined = member_of if labels is None else member_of.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("rep"))
+    some = reps.select("doc_id", "keys").join(held.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = saved(own.join(some.hint("shuffle_hash"), "doc_id").dropDuplicates(["doc_id"]), "texts")
+
+    # first every document against two others, one of the smallest ids and one of a random order
+    heads = held.groupBy("key").agg(F.min("id").alias("low"), F.min(F.struct(F.xxhash64(F.lit(1), "id").alias("order"), "id"))["id"].alias("drawn"))
+    near = held.join(heads, "key").groupBy("id").agg(
+        F.min(F.when(F.col("low") != F.col("id"), F.col("low"))).alias("low"),
+        F.min(F.when(F.col("drawn") != F.col("id"), F.struct(F.xxhash64(F.lit(1), "drawn").alias("order"), "drawn")))["drawn"].alias("drawn"),
+    )
+    near = near.select("id", F.explode(F.array_distinct(F.array_compact(F.array("low", "drawn")))).alias("other"))
+    tested = _with_one(near.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), texts, weight_of, similarity)
+    labels = components(tested.where("linked").select("a", "b"))
+
+    # then all pairs that share a key and no class yet
+    rows = held.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    open_keys = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    rows = saved(rows.join(open_keys.select("key"), "key"), "open")
+    rest = _with_all(rows, texts, weight_of, similarity)
+    labels = components(tested.unionByName(rest).where("linked").select("a", "b"))
+    joined = member_of.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("rep"))
     known = joined.groupBy("doc_id").agg(F.min("rep").alias("class_id"))
     every = own.select("doc_id").distinct()
     return every.join(known, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
