@@ -55,7 +55,7 @@ def percentage(v: Column, decimals: int = 1) -> Column:
 def duration(seconds: Column) -> Column:
     """Seconds as text in seconds, minutes or hours."""
     return (
-        F.when(seconds < 60, F.format_string("%.1f seconds", seconds))
+        F.when(seconds < 60, F.format_string("%.0f seconds", seconds))
         .when(seconds < 3600, F.format_string("%.1f minutes", seconds / 60))
         .otherwise(F.format_string("%.1f hours", seconds / 3600))
     )

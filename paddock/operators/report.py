@@ -156,15 +156,18 @@ def _drivers(*names: str) -> Column:
     return F.array(*[F.col(n) for n in names]) if names else F.array().cast("array<string>")
 
 
+def _number(c: Column) -> Column:
+    return F.format_string("%.4f", c.cast("double"))
+
+
 def key_insights(predictions: DataFrame) -> DataFrame:
     """Winner, surprises against the grid, weather and the first close battle, as insight rows."""
-    p = predictions
+    p, text = predictions, values.INSIGHT_TEXTS
     name, place, c = F.col("driver_name"), F.col("predicted_position"), F.col("confidence_score")
     winner = p.where(F.col("list_no") == 1).select(
         *_insight(
-            "winner", F.concat(name, F.lit(" Predicted to Win")),
-            F.format_string("%s is predicted to win from place %d with %.1f expected points", name, place, F.col("expected_points")),
-            c, _drivers("driver_id"), {"predicted_position": place, "grid": F.col("grid")},
+            "winner", F.concat(name, F.lit(" Predicted to Win")), F.format_string(text["winner"], name, c, place, F.col("expected_points")), c, _drivers("driver_id"),
+            {"predicted_position": place, "expected_points": _number(F.col("expected_points")), "win_probability": _number(F.element_at(_DIST, 1))},
         )
     )
     change = F.col("grid") - place
@@ -172,25 +175,29 @@ def key_insights(predictions: DataFrame) -> DataFrame:
     surprise = p.where(F.abs(change) > 5).select(
         *_insight(
             "surprise", F.concat(F.lit("Surprise Performance: "), name),
-            F.format_string("%s is predicted to %s the grid, P%d to P%d", name, F.when(better, "outperform").otherwise("underperform"), F.col("grid"), place),
-            c, _drivers("driver_id"),
+            F.format_string(text["surprise"], name, F.when(better, "outperform").otherwise("underperform"), F.col("grid"), place), c, _drivers("driver_id"),
             {"grid_position": F.col("grid"), "predicted_position": place, "position_change": change, "surprise_type": F.when(better, "positive").otherwise("negative")},
         )
     )
     weather = p.where((F.col("list_no") == 1) & (F.col("conditions") != "dry")).select(
         *_insight(
-            "weather", F.lit("Weather Impact on Race"),
-            F.concat(F.lit("Expected conditions: "), F.col("conditions")), F.lit(0.8), _drivers(), {"conditions": F.col("conditions")},
+            "weather", F.lit("Weather Impact on Race"), F.format_string(text["weather"], F.coalesce(F.col("humidity"), F.lit(0.0))), F.lit(0.8), _drivers(),
+            {
+                "conditions": F.col("conditions"), "humidity": _number(F.col("humidity")), "track_temp": _number(F.col("track_temp")),
+                "grip_level": _number(F.coalesce(F.col("grip_level"), F.lit(1.0))),
+            },
         )
     )
     gap = F.abs(F.col("next_predicted_position") - place)
     pairs = neighbours(p, ["driver_id", "driver_name", "predicted_position", "confidence_score"]).where(gap < 1.5)
     first = pairs.groupBy("race_id").agg(F.min("list_no").alias("list_no"))
+    next_place, next_c = F.col("next_predicted_position"), F.col("next_confidence_score")
     battle = pairs.join(first, ["race_id", "list_no"], "left_semi").select(
         *_insight(
             "battle", F.concat(F.lit("Close Battle: "), name, F.lit(" vs "), F.col("next_driver_name")),
-            F.format_string("%s (P%d) and %s (P%d) are predicted close together", name, place, F.col("next_driver_name"), F.col("next_predicted_position")),
-            F.least(c, F.col("next_confidence_score")), _drivers("driver_id", "next_driver_id"), {"position_difference": gap},
+            F.format_string(text["battle"], name, place.cast("double"), F.col("next_driver_name"), next_place.cast("double")),
+            F.least(c, next_c), _drivers("driver_id", "next_driver_id"),
+            {"driver1_position": place, "driver2_position": next_place, "position_difference": gap, "combined_confidence": _number((c + next_c) / 2)},
         )
     )
     return reduce(DataFrame.unionByName, [winner, surprise, weather, battle])
@@ -198,33 +205,34 @@ def key_insights(predictions: DataFrame) -> DataFrame:
 
 def advanced_insights(predictions: DataFrame) -> DataFrame:
     """Championship, teammate-style battles, rookies and strategy, as insight rows."""
-    p = predictions
-    name, place, c = F.col("driver_name"), F.col("predicted_position"), F.col("confidence_score")
-    title = p.where((F.col("list_no") == 1) & (F.col("expected_points") > 20)).select(
+    p, text = predictions, values.INSIGHT_TEXTS
+    name, place, c, points = F.col("driver_name"), F.col("predicted_position"), F.col("confidence_score"), F.col("expected_points")
+    title = p.where((F.col("list_no") == 1) & (points > 20)).select(
         *_insight(
-            "championship", F.lit("Championship Impact"), F.concat(name, F.lit(" can gain significant points")), F.lit(0.8), _drivers("driver_id"),
-            {"position": place},
+            "championship", F.lit("Championship Impact"), F.format_string(text["championship"], name), F.lit(0.8), _drivers("driver_id"),
+            {"expected_points": _number(points), "position": place},
         )
     )
     battle = team_battles(p).select(
         *_insight(
             "team_battle", F.concat(F.lit("Intra-Team Battle: "), name, F.lit(" vs "), F.col("next_driver_name")),
-            F.format_string("%s P%d and %s P%d are close", name, place, F.col("next_driver_name"), F.col("next_predicted_position")),
+            F.format_string(text["team_battle"], name, place, F.col("next_driver_name"), F.col("next_predicted_position")),
             F.least(c, F.col("next_confidence_score")), _drivers("driver_id", "next_driver_id"),
-            {"position_gap": F.col("next_predicted_position") - place},
+            {"position_gap": F.abs(F.col("next_predicted_position") - place), "points_difference": _number(F.abs(F.col("next_expected_points") - points))},
         )
     )
     rookie = p.where((place <= 8) & (c > 0.7) & F.lower(name).contains("rookie")).select(
         *_insight(
-            "rookie_performance", F.concat(F.lit("Impressive Rookie Performance: "), name),
-            F.format_string("%s is predicted P%d", name, place), c, _drivers("driver_id"), {"predicted_position": place},
+            "rookie_performance", F.concat(F.lit("Impressive Rookie Performance: "), name), F.format_string(text["rookie_performance"], name, place), c, _drivers("driver_id"),
+            {"predicted_position": place, "expected_points": _number(points)},
         )
     )
     top = likely_overtakes(p).where(F.col("rank") == 1)
     strategy = top.select(
         *_insight(
-            "strategy", F.lit("Key Strategic Opportunity"), F.format_string("%s may overtake %s", F.col("overtaker_name"), F.col("target_name")),
-            F.col("probability"), _drivers("overtaker_id", "target_id"), {"overtaker_id": F.col("overtaker_id")},
+            "strategy", F.lit("Key Strategic Opportunity"),
+            F.format_string(text["strategy"], F.col("overtaker_name"), F.col("probability") * 100, F.col("target_name")), F.col("probability"), _drivers("overtaker_id", "target_id"),
+            {**{k: F.col(k) for k in ("overtaker_id", "overtaker_name", "target_id", "target_name")}, "probability": _number(F.col("probability"))},
         )
     )
     return reduce(DataFrame.unionByName, [title, battle, rookie, strategy])
@@ -233,24 +241,27 @@ def advanced_insights(predictions: DataFrame) -> DataFrame:
 def team_battles(predictions: DataFrame, k: int = 2) -> DataFrame:
     """The first k pairs of confident drivers (above 0.7) less than three places apart.
 
-    In list order the first pairs are between a driver and the next two confident ones.
+    The first k pairs in list order can only join a driver with the next k confident ones.
     """
     rows = predictions.where(F.col("confidence_score") > 0.7)
     ranked = number_rows(rows, ["race_id"], [F.col("list_no")], F.floor(F.col("list_no") / 1024), "at", big=F.col("lines") > BIG_FIELD)
-    later = F.struct("at", "driver_id", "driver_name", "predicted_position", "confidence_score")
-    pairs = framed(ranked, ["race_id"], "at", {(1, 2): {"_later": lambda w: F.collect_list(later).over(w)}}).withColumn("_next", F.explode("_later"))
+    names = ("at", "driver_id", "driver_name", "predicted_position", "confidence_score", "expected_points")
+    later = F.struct(*names)
+    pairs = framed(ranked, ["race_id"], "at", {(1, k): {"_later": lambda w: F.collect_list(later).over(w)}}).withColumn("_next", F.explode("_later"))
     pairs = pairs.select(
-        "*", *[F.col(f"_next.{c}").alias(f"next_{c}") for c in ("at", "driver_id", "driver_name", "predicted_position", "confidence_score")]
+        "*", *[F.col(f"_next.{c}").alias(f"next_{c}") for c in names]
     ).where(F.abs(F.col("next_predicted_position") - F.col("predicted_position")) < 3)
     return top_rows(pairs, ["race_id"], [F.col("at"), F.col("next_at")], k).drop("_later", "_next")
 
 
-def statistics(predictions: DataFrame) -> DataFrame:
-    """Position, points and confidence statistics of a race. Places are listed without gaps but for
+def statistics(predictions: DataFrame, confidence: DataFrame) -> DataFrame:
+    """Position, points and confidence statistics of a race, its overall confidence and how certain that is. Places are listed without gaps but for
     the cap, so the median comes from the two middle list entries."""
     c, place, n = F.col("confidence_score"), F.col("predicted_position"), F.col("n_drivers")
     middle = (F.col("list_no") == F.floor((n + 1) / 2)) | (F.col("list_no") == F.floor((n + 2) / 2))
-    return predictions.groupBy("race_id").agg(
+    overall = F.col("overall_confidence")
+    certainty = F.when(overall > 0.8, "high").when(overall > 0.6, "medium").otherwise("low")
+    found = predictions.groupBy("race_id").agg(
         F.count(F.lit(1)).alias("total_drivers"),
         F.avg(place).alias("mean_position"),
         F.stddev_pop(place).alias("position_spread"),
@@ -263,6 +274,7 @@ def statistics(predictions: DataFrame) -> DataFrame:
         F.count_if(c > 0.8).alias("high_confidence_predictions"),
         F.count_if(c < 0.5).alias("low_confidence_predictions"),
     )
+    return found.join(confidence.select("race_id", "overall_confidence"), "race_id").withColumn("prediction_certainty", certainty)
 
 
 def confidence_distribution(predictions: DataFrame) -> DataFrame:
@@ -296,48 +308,62 @@ def race_info(predictions: DataFrame, confidence: DataFrame) -> DataFrame:
 
 
 def race_report(predictions: DataFrame, confidence: DataFrame) -> DataFrame:
-    """Whole report per race: header, statistics and the sections as one JSON document each.
+    """Whole report in long form: race_id, section, ordinal, subject, value and the row as a JSON document.
 
-    List sections hold what a reader sees (podium, five overtakes, insights of the first ten
-    drivers), so no field of a race is gathered into one row; ``formatted`` keeps all rows.
+    Every section has all its rows, of all drivers; a reader takes the ordinals it shows.
     """
-    listed = lambda df, name, *cols: df.groupBy("race_id").agg(
-        F.to_json(F.array_sort(F.collect_list(F.struct(*cols)))).alias(name)
-    )
-    podium = listed(podium_candidates(predictions), "podium", "podium_rank", "driver_id")
-    overtakes = listed(likely_overtakes(predictions), "overtakes", "rank", "overtaker_id", "target_id")
-    top = listed(predictions.where(F.col("list_no") <= 10), "top_ten", "list_no", "driver_id", "predicted_position")
-    return (
-        race_info(predictions, confidence)
-        .join(statistics(predictions).drop("total_drivers"), "race_id")
-        .join(top, "race_id")
-        .join(podium, "race_id", "left")
-        .join(overtakes, "race_id", "left")
+
+    def section(rows: DataFrame, name: str, ordinal: Column, subject: Column, value: Column) -> DataFrame:
+        plain = [c for c in rows.columns if c not in ("lines", _DIST)]
+        return rows.select(
+            "race_id", F.lit(name).alias("section"), ordinal.cast("long").alias("ordinal"), subject.alias("subject"), value.cast("double").alias("value"),
+            F.to_json(F.struct(*plain)).alias("document"),
+        )
+
+    pair = lambda a, b: F.concat(F.col(a), F.lit("/"), F.col(b))
+    none = F.lit(0)
+    return reduce(
+        DataFrame.unionByName,
+        [
+            section(race_info(predictions, confidence), "race_info", none, F.col("race_name"), F.col("overall_confidence")),
+            section(formatted(predictions), "position_predictions", F.col("list_no"), F.col("driver_id"), F.col("podium_probability")),
+            section(podium_candidates(predictions), "podium_candidates", F.col("podium_rank"), F.col("driver_id"), F.col("podium_probability")),
+            section(podium_battles(predictions), "podium_battles", none, pair("driver_id", "next_driver_id"), F.col("closeness")),
+            section(podium_surprises(predictions), "podium_surprises", F.col("predicted_position"), F.col("driver_id"), F.col("podium_probability")),
+            section(likely_overtakes(predictions), "likely_overtakes", F.col("rank"), pair("overtaker_id", "target_id"), F.col("probability")),
+            section(overtaking_hotspots(predictions), "overtaking_hotspots", F.col("overtake_count"), F.col("driver_id"), F.col("total_probability")),
+            section(key_insights(predictions), "key_insights", none, F.col("title"), F.col("confidence")),
+            section(statistics(predictions, confidence), "statistical_summary", F.col("total_drivers"), F.col("prediction_certainty"), F.col("mean_position")),
+            section(confidence_distribution(predictions), "confidence_analysis", F.col("high_count"), F.col("prediction_reliability"), F.col("mean_confidence")),
+        ],
     )
 
 
 def notable_drivers(predictions: DataFrame, k: int = 3) -> DataFrame:
-    """First k of: confidence above 0.9 (not the winner), or podium chance above 0.3 from below place five."""
+    """First k entries of: confidence above 0.9 (not the winner), then podium chance above 0.3 from below place
+    five. A driver with both reasons takes two entries."""
     rows = predictions.withColumn("podium_probability", _head(3))
     sure = (F.col("confidence_score") > 0.9) & (F.col("list_no") > 1)
     dark = (F.col("podium_probability") > 0.3) & (F.col("predicted_position") > 5)
-    kept = rows.withColumn("reason", F.when(sure, "confident").when(dark, "podium chance")).where(F.col("reason").isNotNull())
-    return top_rows(kept, ["race_id"], [F.col("list_no")], k)
+    reasons = F.array_compact(F.array(F.when(sure, values.NOTABLE_REASONS[0]), F.when(dark, values.NOTABLE_REASONS[1])))
+    kept = rows.select("*", F.posexplode(reasons).alias("reason_no", "reason"))
+    return top_rows(kept, ["race_id"], [F.col("list_no"), F.col("reason_no")], k)
 
 
 def team_comparison(predictions: DataFrame) -> DataFrame:
-    """Mean place, points and mean confidence of each team over all predictions."""
-    return predictions.groupBy(F.col("constructor_id").alias("team")).agg(
+    """Mean place, points and mean confidence of each team of a race."""
+    return predictions.groupBy("race_id", F.col("constructor_id").alias("team")).agg(
         F.avg("predicted_position").alias("mean_position"), F.sum(F.col("expected_points").cast("decimal(18,6)")).cast("double").alias("total_points"), F.avg("confidence_score").alias("mean_confidence"),
     )
 
 
 def confidence_histogram(predictions: DataFrame, bins: int = 15) -> DataFrame:
-    """Equal-width histogram of confidence between its smallest and largest value."""
+    """Equal-width histogram of the confidence of a race between its smallest and largest value."""
     c = F.col("confidence_score")
-    lo, hi = predictions.agg(F.min(c), F.max(c)).first()
-    slot = F.least(F.lit(bins - 1), F.floor((c - lo) / ((hi - lo) or 1.0) * bins))
-    return predictions.groupBy(slot.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    edges = predictions.groupBy("race_id").agg(F.min(c).alias("_lo"), F.max(c).alias("_hi"))
+    width = F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(1.0)
+    slot = F.least(F.lit(bins - 1), F.floor((c - F.col("_lo")) / width * bins))
+    return predictions.join(edges, "race_id").groupBy("race_id", slot.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def insight_summary(found: DataFrame) -> DataFrame:
@@ -351,14 +377,14 @@ def race_phase(text: Column) -> Column:
     """Phase of the race an insight text speaks of."""
     low = F.lower(text)
     has = lambda *words: reduce(lambda a, b: a | b, [low.contains(w) for w in words])
-    return F.when(has("start", "grid"), "start").when(has("strategy", "pit"), "middle").when(has("finish", "final"), "end").otherwise("general")
+    return F.when(has("start", "early"), "start").when(has("strategy", "pit"), "middle").when(has("late", "final"), "end").otherwise("general")
 
 
 def prediction_log(predictions: DataFrame, confidence: DataFrame) -> DataFrame:
-    """One log row per race: winner, confidence, number of drivers."""
+    """One log row per race: winner with confidence and points, number of drivers; `append_log` adds the time."""
     head = predictions.where(F.col("list_no") == 1).select(
         "race_id", "race_name", "circuit", "season", "race_date", F.col("driver_name").alias("winner"), F.col("confidence_score").alias("winner_confidence"),
-        F.col("n_drivers").alias("total_drivers"),
+        F.col("expected_points").alias("winner_points"), F.col("n_drivers").alias("total_drivers"),
     )
     return head.join(confidence.select("race_id", "overall_confidence"), "race_id")
 

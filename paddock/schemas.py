@@ -19,7 +19,7 @@ QUALIFYING = (
 )
 
 STORED_RACE = (
-    "season int, round int, race_id string, part long, circuit_id string, race_name string, date string, "
+    "season int, round int, race_id string, part long, first_result long, circuit_id string, race_name string, date string, "
     f"results array<{RESULT}>, qualifying array<{QUALIFYING}>, weather {WEATHER}, _corrupt_record string"
 )
 
@@ -38,7 +38,7 @@ _PAYLOAD_RACE = (
     f"QualifyingResults:array<{_PAYLOAD_QUALIFYING}>>"
 )
 RACE_PAYLOAD = (
-    f"MRData struct<RaceTable:struct<Races:array<{_PAYLOAD_RACE}>>>, _corrupt_record string"
+    f"MRData struct<offset:string,RaceTable:struct<Races:array<{_PAYLOAD_RACE}>>>, _corrupt_record string"
 )
 
 _STANDING = "position:string,points:string,wins:string"

@@ -13,16 +13,21 @@ _QUARANTINE = "_corrupt_record"
 
 def read_payloads(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row per payload file; unreadable files keep their text in ``_corrupt_record``."""
-    return spark.read.schema(schemas.RACE_PAYLOAD).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    parsed = F.from_json("value", schemas.RACE_PAYLOAD, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _QUARANTINE})
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), parsed.alias("p")).select("file", "p.*")
 
 
 def quarantine(payloads: DataFrame) -> DataFrame:
-    return payloads.where(F.col(_QUARANTINE).isNotNull()).select(F.input_file_name().alias("file"), _QUARANTINE)
+    """Unreadable files with their text, and whether any race could be read from them."""
+    partly = F.col("MRData").isNotNull().alias("partly_read")
+    return payloads.where(F.col(_QUARANTINE).isNotNull()).select("file", partly, _QUARANTINE)
 
 
 def races(payloads: DataFrame) -> DataFrame:
-    """Race structs of the payloads; payloads without races give no rows."""
-    return payloads.where(F.col(_QUARANTINE).isNull()).select(F.explode("MRData.RaceTable.Races").alias("r")).select("r.*")
+    """Race structs of the payloads with the payload's `offset`, the place of its first entry in the race;
+    payloads without races give no rows."""
+    rows = payloads.where(F.col(_QUARANTINE).isNull()).select(F.col("MRData.offset").alias("offset"), F.explode("MRData.RaceTable.Races").alias("r"))
+    return rows.select("r.*", "offset")
 
 
 def race_key() -> list:
@@ -30,17 +35,18 @@ def race_key() -> list:
 
 
 def headers(payload_races: DataFrame) -> DataFrame:
-    """Typed race headers with default weather, one per season and round."""
+    """Typed race headers with default weather, one per race; races that share season and round stay apart."""
     default = F.struct(*[F.lit(v).alias(n) for n, v in values.DEFAULT_WEATHER.items()])
     return payload_races.select(
         *race_key(), F.col("Circuit.circuitId").alias("circuit_id"), F.col("raceName").alias("race_name"),
         parse.race_time(F.col("date"), F.col("time")).alias("race_date"),
-    ).dropDuplicates(["season", "round"]).withColumn("weather", default)
+    ).distinct().withColumn("weather", default)
 
 
 def results(payload_races: DataFrame) -> DataFrame:
     """Typed result rows in payload order."""
-    rows = payload_races.select(*race_key(), F.posexplode("Results").alias("result_idx", "r"))
+    start = F.coalesce(F.col("offset").try_cast("int"), F.lit(0))
+    rows = payload_races.select(*race_key(), start.alias("_start"), F.posexplode("Results").alias("_i", "r")).withColumn("result_idx", F.col("_start") + F.col("_i"))
     final = parse.place(F.col("r.position"))
     return rows.select(
         "season", "round", "result_idx", F.col("r.Driver.driverId").alias("driver_id"), F.col("r.Constructor.constructorId").alias("constructor_id"),

@@ -8,7 +8,7 @@ from pyspark.sql.utils import AnalysisException
 
 from paddock import schemas
 
-# entries per document: a race with a larger field is stored as several documents
+# entries per document: a race with a larger field is stored as several documents, which say where they start
 PART = 5000
 
 
@@ -25,7 +25,7 @@ def documents(race: DataFrame, results: DataFrame, qualifying: DataFrame, part:
     both = lists.join(q_lists, ["race_id", "part"], "full_outer")
     empty = lambda c: F.coalesce(c, F.array().cast(both.schema[c].dataType)).alias(c)
     return race.join(both, "race_id", "left").select(
-        "season", "round", "race_id", F.coalesce("part", F.lit(0)).alias("part"), "circuit_id", "race_name",
+        "season", "round", "race_id", F.coalesce("part", F.lit(0)).alias("part"), (F.coalesce("part", F.lit(0)) * part).alias("first_result"), "circuit_id", "race_name",
         F.date_format("race_date", "yyyy-MM-dd'T'HH:mm:ss").alias("date"), empty("results"), empty("qualifying"), "weather",
     )
 
@@ -47,8 +47,8 @@ def race(spark: SparkSession, path: str, season: int, round_: int) -> DataFrame:
 
 def result_rows(docs: DataFrame) -> DataFrame:
     """Result rows of stored documents."""
-    rows = docs.select("race_id", "season", "round", "part", F.posexplode("results").alias("_i", "r"))
-    return rows.select("race_id", "season", "round", (F.col("part") * PART + F.col("_i")).alias("result_idx"), "r.*")
+    rows = docs.select("race_id", "season", "round", "first_result", F.posexplode("results").alias("_i", "r"))
+    return rows.select("race_id", "season", "round", (F.coalesce("first_result", F.lit(0)) + F.col("_i")).alias("result_idx"), "r.*")
 
 
 def qualifying_rows(docs: DataFrame) -> DataFrame:

@@ -70,7 +70,7 @@ def _payloads(spark, sf_dir):
             F.col("season").cast("string").alias("season"), F.col("round").cast("string").alias("round"), F.col("race_id").alias("raceName"),
             F.date_format("race_date", "yyyy-MM-dd").alias("date"), F.struct(F.col("circuit_id").alias("circuitId")).alias("Circuit"), "Results",
         )
-        race.select(F.struct(F.struct(F.array(body).alias("Races")).alias("RaceTable")).alias("MRData")).write.mode("overwrite").json(path)
+        race.select(F.struct((F.col("part") * stored.PART).cast("string").alias("offset"), F.struct(F.array(body).alias("Races")).alias("RaceTable")).alias("MRData")).write.mode("overwrite").json(path)
         _written.add(key)
     return spark.read.schema(schemas.RACE_PAYLOAD).json(path)
 
@@ -86,24 +86,25 @@ def _combined(t):
         "race_id", F.concat(F.lit("C"), F.substring_index("driver_id", "_", -1)).alias("driver_code"),
         *[F.struct((F.lit(90000 + i) + F.col("position")).cast("long").alias("time_ms"), F.lit(1).alias("lap_number")).alias(f"q{i}") for i in (1, 2, 3)],
     )
+    secondary = secondary.unionByName(secondary.where(F.pmod(F.xxhash64("race_id"), F.lit(2)) == 0))
     codes = t.qualifying_result.select("driver_id").distinct().withColumn("driver_code", F.concat(F.lit("C"), F.substring_index("driver_id", "_", -1)))
     return combine.fill_qualifying(t.qualifying_result, secondary, codes).select("race_id", "driver_id", *[F.col(f"q{i}.time_ms").alias(f"q{i}_ms") for i in (1, 2, 3)])
 
 
 def _fastest(t):
-    laps = t.race.select("race_id", F.lit("DRI").alias("driver_code"), F.struct((F.lit(70000) + F.col("distance")).cast("long").alias("time_ms"), F.lit(1).alias("lap_number")).alias("lap"))
+    laps = t.race.select("race_id", F.lit("DRI").alias("driver_code"), F.explode(F.array(*[F.struct((F.lit(70000) + F.col("distance") + more).cast("long").alias("time_ms"), F.lit(1).alias("lap_number")) for more in (5, 0)])).alias("lap"))
     return combine.fill_fastest_laps(t.race_result, laps).select("race_id", "driver_id", F.col("fastest_lap.time_ms").alias("fastest_ms"))
 
 
 def _csv_rows(t):
     """Request rows as a CSV file would hold them, with faults sprinkled in by race number."""
     k = F.substring_index("race_id", "_", -1).cast("long")
-    drivers = t.race_result.groupBy("race_id", F.floor(F.col("result_idx") / stored.PART).alias("part")).agg(
+    drivers = t.race_result.groupBy("race_id").agg(
         F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("result_idx", "driver_id", "grid_position"))), lambda x: x.dropFields("result_idx"))).alias("drivers")
     )
     rows = t.race.join(drivers, "race_id", "left")
     return rows.select(
-        "race_id", "part", F.when(k % 19 == 0, " ").otherwise(F.col("race_name")).alias("race_name"), F.when(k % 23 != 0, F.col("circuit_id")).alias("circuit"),
+        "race_id", F.when(k % 19 == 0, " ").otherwise(F.col("race_name")).alias("race_name"), F.when(k % 23 != 0, F.col("circuit_id")).alias("circuit"),
         F.when(k % 29 == 0, "someday").otherwise(F.date_format("race_date", "yyyy-MM-dd")).alias("date"),
         F.when(k % 31 == 0, "[").when(k % 37 == 0, "[]").otherwise(F.col("drivers")).alias("drivers"),
         F.when(k % 41 == 0, "{").when(k % 43 == 0, "[1]").otherwise(F.to_json("weather")).alias("weather"),
@@ -136,7 +137,7 @@ QUERIES = {
     ),
     "payload_results": Query(
         _payload_results,
-        "SELECT race_id, result_idx % 5000 AS result_idx, season, driver_id, constructor_id, grid_position, final_position, points, fastest_ms, CASE WHEN finished THEN 'finished' ELSE 'dnf' END AS status, laps_completed FROM race_result",
+        "SELECT race_id, result_idx, season, driver_id, constructor_id, grid_position, final_position, points, fastest_ms, CASE WHEN finished THEN 'finished' ELSE 'dnf' END AS status, laps_completed FROM race_result",
         "race_id:s season:b result_idx:b driver_id:s constructor_id:s grid_position:b final_position:b points:d fastest_ms:b status:s laps_completed:b",
     ),
     "payload_headers": Query(

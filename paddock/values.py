@@ -171,3 +171,16 @@ CONFIDENCE_WEIGHTS = {
     "historical_accuracy": 0.25,
     "data_quality": 0.2,
 }
+
+# Texts of insights, as printf patterns, and the reasons for which a driver is notable.
+INSIGHT_TEXTS = {
+    "winner": "%s has the highest probability of winning with a confidence score of %.3f. Expected to finish in position %d with %.1f championship points.",
+    "surprise": "%s is predicted to %s their grid position significantly, moving from P%d to P%d.",
+    "weather": "Wet conditions expected with %.1f%% humidity. This could significantly impact race dynamics and create opportunities for skilled wet-weather drivers.",
+    "battle": "Extremely close battle predicted between %s (P%.1f) and %s (P%.1f). This could be decided by strategy or race incidents.",
+    "championship": "This race could be crucial for the championship battle, with %s positioned to gain significant points.",
+    "team_battle": "Close battle expected between teammates, with %s predicted P%d and %s predicted P%d.",
+    "rookie_performance": "%s is predicted to deliver an outstanding performance, finishing P%d and potentially outperforming more experienced drivers.",
+    "strategy": "Strategic pit timing could be crucial, with %s having a %.1f%% chance of overtaking %s.",
+}
+NOTABLE_REASONS = ("High Confidence", "Podium Contender")
