@@ -110,23 +110,39 @@ def evaluation_report(metrics: DataFrame) -> DataFrame:
     return metrics.select("model", F.concat_ws("\n", *lines).alias("report"))
 
 
-def time_order(rows: DataFrame, date: str, key: str) -> DataFrame:
-    """Position ``row_no`` of every row in time order, numbered day by day."""
-    day = F.datediff(F.col(date), F.lit("1970-01-01").cast("date"))
-    return number_rows(rows, [], [F.col(date), F.col(key)], day, "row_no")
+def text_block(text: Column, start: int, length: int = 4) -> Column:
+    """A number that never decreases along texts with a common beginning: the codes of `length` characters from
+    place `start` on, as digits."""
+    digit = lambda i: F.coalesce(F.nullif(F.ascii(F.substring(text, i, 1)), F.lit(0)), F.lit(0)).cast("long")
+    return reduce(lambda acc, i: acc * 128 + F.least(digit(i), F.lit(127)), range(start + 1, start + length), digit(start))
 
 
-def temporal_split(ordered: DataFrame, test_share: float = 0.2) -> DataFrame:
+def time_order(rows: DataFrame, date: str, key: str, keys: tuple[str, ...] = (), block: Column | None = None) -> DataFrame:
+    """Position ``row_no`` of every row in time order, inside ``keys`` where given. Rows are numbered day by day; a
+    ``block`` below 2^28 that never decreases along ``key`` cuts the days further."""
+    day = F.datediff(F.col(date), F.lit("1970-01-01").cast("date")).cast("long")
+    chunk = day if block is None else day * 2**28 + block
+    return number_rows(rows, list(keys), [F.col(date), F.col(key)], chunk, "row_no", upper=day)
+
+
+def _with_size(ordered: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Adds the number of rows, of each of the few ``keys`` or of all, from an aggregate of that many rows."""
+    marked = ordered.withColumn("_all", F.lit(0))
+    sizes = marked.groupBy("_all", *keys).agg(F.count(F.lit(1)).alias("_size"))
+    return marked.join(sizes, ["_all", *keys]).drop("_all")
+
+
+def temporal_split(ordered: DataFrame, test_share: float = 0.2, keys: tuple[str, ...] = ()) -> DataFrame:
     """Mark the last share of the rows in time order as test."""
-    n = ordered.count()
-    return ordered.withColumn("is_test", F.col("row_no") > int(n * (1 - test_share)))
+    first = F.floor(F.col("_size") * F.lit(1 - test_share))
+    return _with_size(ordered, keys).withColumn("is_test", F.col("row_no") > first).drop("_size")
 
 
-def folds(ordered: DataFrame, k: int = 5) -> DataFrame:
+def folds(ordered: DataFrame, k: int = 5, keys: tuple[str, ...] = ()) -> DataFrame:
     """Expanding folds: each row with the fold it tests; it trains all later folds. 0 is never tested."""
-    n = ordered.count()
-    size = n // (k + 1)
-    return ordered.withColumn("test_fold", F.greatest(F.lit(0), F.ceil((F.col("row_no") - (n - k * size)) / F.lit(size or 1))).cast("int"))
+    size = F.floor(F.col("_size") / (k + 1))
+    fold = F.ceil((F.col("row_no") - (F.col("_size") - k * size)) / F.greatest(size, F.lit(1)))
+    return _with_size(ordered, keys).withColumn("test_fold", F.greatest(F.lit(0), fold).cast("int")).drop("_size")
 
 
 def is_ordered(rows: DataFrame, keys: list[str], number: str, date: str) -> DataFrame:

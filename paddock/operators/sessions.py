@@ -61,7 +61,7 @@ def last_weather(sessions: DataFrame, readings: DataFrame) -> DataFrame:
     )
 
 
-def session_summary(laps: DataFrame, per_session: int = 1000) -> DataFrame:
+def session_summary(laps: DataFrame) -> DataFrame:
     """Laps and drivers per session; the driver list is one row per driver in ``session_drivers``."""
     return laps.groupBy("session_id").agg(
         F.first("session_type").alias("session_type"), F.count(F.lit(1)).alias("total_laps"), F.count_distinct("driver_code").alias("n_drivers")

@@ -25,6 +25,7 @@ def number_rows(
     prior: str | None = None,
     big: Column | None = None,
     count_from: DataFrame | None = None,
+    upper: Column | None = None,
 ) -> DataFrame:
     """Dense 1-based row number ``name`` inside each key group, following ``order``.
 
@@ -32,13 +33,17 @@ def number_rows(
     shifted by the number of rows in earlier chunks. ``prior`` names a column that keeps this
     shift, i.e. the number of rows in strictly earlier chunks. With ``big``, only groups where it
     is true are cut into chunks; it has to be constant inside a group. ``count_from`` may name an
-    earlier, cheaper frame with the same rows (a stored table) for counting the chunks.
+    earlier, cheaper frame with the same rows (a stored table) for counting the chunks. ``upper``, a
+    coarser value that never decreases along ``chunk``, makes the shifts in two levels: where a group has
+    very many chunks, no window sees more than those of one upper value, or all upper values.
     """
     cut = chunk if big is None else F.when(big, chunk).otherwise(F.lit(0))
     rows = df.withColumn("_chunk", cut.cast("long"))
     sizes = rows if count_from is None else count_from.withColumn("_chunk", cut.cast("long"))
     if big is not None:
         sizes = sizes.where(big)
+    if upper is not None:
+        return _numbered_in_levels(rows, sizes.withColumn("_upper", upper), keys, order, name)
     shifts = (
         sizes.groupBy(*keys, "_chunk")
         .agg(F.count(F.lit(1)).alias("_rows"))
@@ -59,6 +64,17 @@ def number_rows(
     return out.drop("_chunk", "_local", "_shift")
 
 
+def _numbered_in_levels(rows: DataFrame, sizes: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    before = lambda by, *parts: F.coalesce(F.sum("_rows").over(Window.partitionBy(*parts).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chunks = sizes.groupBy(*keys, "_upper", "_chunk").agg(F.count(F.lit(1)).alias("_rows"))
+    uppers = chunks.groupBy(*keys, "_upper").agg(F.sum("_rows").alias("_rows")).select(*keys, "_upper", before("_upper", *keys).alias("_outer"))
+    shifts = chunks.select(*keys, "_upper", "_chunk", before("_chunk", *keys, "_upper").alias("_inner")).join(uppers, [*keys, "_upper"])
+    shifts = shifts.select(*keys, "_chunk", (F.col("_inner") + F.col("_outer")).alias("_shift"))
+    local = F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(*order))
+    out = rows.withColumn("_local", local).join(shifts, [*keys, "_chunk"])
+    return out.withColumn(name, F.col("_local") + F.col("_shift")).drop("_chunk", "_local", "_shift")
+
+
 def with_blocks(
     df: DataFrame, number: str, before: int = 0, after: int = 0, block: int = BLOCK
 ) -> DataFrame:
@@ -148,13 +164,13 @@ def running(
 
     Only groups longer than one block need totals of earlier blocks. ``long`` may list their keys
     (or the first few key columns) from a stored table, which is cheaper than finding them in
-    ``df``; there are at most rows / block of them, which bounds the broadcast.
+    ``df``.
     """
     sums, maxima = sums or {}, maxima or {}
     rows = df if "_block" in df.columns else with_blocks(df, number, block=block).drop("_own")
     if long is None:
         long = df.where(F.col(number) > block).select(*keys).distinct()
-    totals = rows.join(F.broadcast(long), long.columns, "left_semi").groupBy(*keys, "_block").agg(
+    totals = rows.join(long, long.columns, "left_semi").groupBy(*keys, "_block").agg(
         *[F.sum(c).alias(f"_c_{n}") for n, c in sums.items()],
         *[F.max(c).alias(f"_c_{n}") for n, c in maxima.items()],
     )

@@ -24,12 +24,15 @@ _METRICS = f"""{_SCORED}, ranks AS (SELECT model, rank() OVER (PARTITION BY mode
     FROM e JOIN (SELECT model, corr(rt, rp) AS s FROM ranks GROUP BY 1) USING (model) GROUP BY model)"""
 _WEIGHTS = f"""{_SCORED}, raw AS (SELECT model, 1 / (1 + avg(size)) AS weighted_average, 1.0::DOUBLE AS voting, 1 / (1 + avg(size)) / (1 + var_pop(y_pred)) AS dynamic FROM e GROUP BY 1),
   weights AS (SELECT strategy, model, raw / sum(raw) OVER (PARTITION BY strategy) AS weight FROM (UNPIVOT raw ON weighted_average, voting, dynamic INTO NAME strategy VALUE raw))"""
-_ORDER = """ordered AS (SELECT race_id, driver_id, model, y_true, y_pred, row_number() OVER (PARTITION BY model ORDER BY race_date, race_id, driver_id) AS row_no, count(*) OVER (PARTITION BY model) AS n FROM long_prediction WHERE model = 'blend')"""
+_ORDER = """ordered AS (SELECT race_id, driver_id, model, y_true, y_pred, row_number() OVER (PARTITION BY model ORDER BY race_date, race_id, driver_id) AS row_no, count(*) OVER (PARTITION BY model) AS n FROM long_prediction)"""
+
+
+_MODEL = ("model",)
 
 
 def _ordered(p):
-    rows = _long(p).where(F.col("model") == "blend")
-    return evaluation.time_order(rows.withColumn("row_key", F.struct("race_id", "driver_id")), "race_date", "row_key")
+    rows = _long(p).withColumn("row_key", F.struct("race_id", "driver_id"))
+    return evaluation.time_order(rows, "race_date", "row_key", _MODEL, evaluation.text_block(F.col("race_id"), len("race_") + 1))
 
 
 def _accuracy(p):
@@ -75,14 +78,14 @@ QUERIES = {
         "model:s report:s",
     ),
     "temporal_split": predicted_query(
-        lambda p: evaluation.temporal_split(_ordered(p)), f"WITH {_ORDER} SELECT *, row_no > CAST(floor(n * (1 - 0.2::DOUBLE)) AS BIGINT) AS is_test FROM ordered", "race_id:s driver_id:s row_no:b is_test:l"
+        lambda p: evaluation.temporal_split(_ordered(p), keys=_MODEL), f"WITH {_ORDER} SELECT *, row_no > CAST(floor(n * (1 - 0.2::DOUBLE)) AS BIGINT) AS is_test FROM ordered", "race_id:s driver_id:s model:s row_no:b is_test:l"
     ),
     "time_series_folds": predicted_query(
-        lambda p: evaluation.folds(_ordered(p)),
-        f"WITH {_ORDER} SELECT *, greatest(0, ceil((row_no - (n - 5 * (n // 6))) / (n // 6))) AS test_fold FROM ordered", "race_id:s driver_id:s row_no:b test_fold:b",
+        lambda p: evaluation.folds(_ordered(p), keys=_MODEL),
+        f"WITH {_ORDER} SELECT *, greatest(0, ceil((row_no - (n - 5 * (n // 6))) / (n // 6))) AS test_fold FROM ordered", "race_id:s driver_id:s model:s row_no:b test_fold:b",
     ),
     "cross_validation_summary": predicted_query(
-        lambda p: evaluation.cross_validation_summary(evaluation.fold_metrics(evaluation.folds(_ordered(p))), ["mae", "rmse", "within_3_pct"]),
+        lambda p: evaluation.cross_validation_summary(evaluation.fold_metrics(evaluation.folds(_ordered(p), keys=_MODEL)), ["mae", "rmse", "within_3_pct"]),
         f"""WITH {_ORDER}, f AS (SELECT model, greatest(0, ceil((row_no - (n - 5 * (n // 6))) / (n // 6))) AS fold, y_pred - y_true AS error FROM ordered WHERE y_true IS NOT NULL),
           m AS (SELECT model, fold, avg(abs(error)) AS mae, sqrt(avg(error * error)) AS rmse, (count(*) FILTER (WHERE abs(error) <= 3) * 100 / count(*))::DOUBLE AS within_3_pct FROM f WHERE fold > 0 GROUP BY ALL)
         SELECT model, metric, avg(value) AS mean, stddev_pop(value) AS std, min(value) AS min, max(value) AS max, count(*) AS n_folds FROM (UNPIVOT m ON mae, rmse, within_3_pct INTO NAME metric VALUE value) GROUP BY ALL""",

@@ -9,8 +9,8 @@ from paddock.operators import report
 from paddock.suite.base import Query, on_tables, predicted_query
 
 _POD, _PTS = "list_sum(dist[1:3])", "list_sum(dist[1:10])"
-_DIFF = "CASE string_split(circuit, ' ')[-1] " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.OVERTAKING_DIFFICULTY.items()) + f" ELSE {values.DEFAULT_DIFFICULTY} END"
-_OVER = f"""o AS (SELECT *, least(0.9, (grid - predicted_position) * 0.2::DOUBLE * (1.0::DOUBLE - ({_DIFF})::DOUBLE)) AS probability FROM prediction WHERE grid - predicted_position > 2),
+DIFFICULTY = "CASE string_split(circuit, ' ')[-1] " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.OVERTAKING_DIFFICULTY.items()) + f" ELSE {values.DEFAULT_DIFFICULTY} END"
+_OVER = f"""o AS (SELECT *, least(0.9, (grid - predicted_position) * 0.2::DOUBLE * (1.0::DOUBLE - ({DIFFICULTY})::DOUBLE)) AS probability FROM prediction WHERE grid - predicted_position > 2),
   pairs AS (SELECT o.race_id, o.driver_id AS overtaker_id, o.driver_name AS overtaker_name, o.list_no AS a, b.driver_id AS target_id, b.driver_name AS target_name, b.list_no AS b, o.probability
     FROM o JOIN prediction b ON b.race_id = o.race_id AND b.grid < o.grid AND b.predicted_position > o.predicted_position)"""
 _TOP = "SELECT *, row_number() OVER (PARTITION BY race_id ORDER BY probability DESC, a, b) AS rank FROM pairs QUALIFY rank <= 5"

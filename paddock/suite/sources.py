@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from paddock import schemas
 from paddock.functions import parse
-from paddock.operators import quality
+from paddock.operators import quality, report
 from paddock.plans import canonical
 from paddock.sources import combine, payloads, requests, stored
 from paddock.suite.base import Query, on_tables, predicted_query
+from paddock.suite.report import DIFFICULTY
 
 
 
@@ -209,13 +210,16 @@ QUERIES = {
     ),
     "display_labels": predicted_query(
         lambda p: p.predictions.select(
-            "race_id", "driver_id", parse.confidence_text(F.col("confidence_score")).alias("level"), parse.overtaking_label(F.element_at("probability_distribution", 1)).alias("label"),
+            "race_id", "driver_id", parse.confidence_text(F.col("confidence_score")).alias("level"), parse.overtaking_label(report.overtaking_factor(F.col("circuit"))).alias("label"),
+            parse.percentage(F.element_at("probability_distribution", 1)).alias("percent"), parse.duration(F.col("list_no") * 37.5).alias("took"),
             *[c.alias(n) for n, c in parse.weather_summary(F.col("conditions"), F.col("air_temp"), F.col("humidity"), F.col("grip_level")).items()],
             F.element_at(parse.supporting_text(F.create_map(F.lit("predicted_position"), F.col("predicted_position").cast("double"), F.lit("confidence"), F.lit(0.5))), "predicted_position").alias("place_text"),
         ),
-        """SELECT race_id, driver_id, CASE WHEN confidence_score > 0.8 THEN 'High' WHEN confidence_score > 0.6 THEN 'Medium' ELSE 'Low' END AS level,
-          CASE WHEN dist[1] > 0.7 THEN 'Easy' WHEN dist[1] > 0.4 THEN 'Moderate' ELSE 'Difficult' END AS label, CASE conditions WHEN 'dry' THEN 1 WHEN 'mixed' THEN 0.5 ELSE 0 END AS dryness,
+        f"""SELECT race_id, driver_id, CASE WHEN confidence_score > 0.8 THEN 'High' WHEN confidence_score > 0.6 THEN 'Medium' ELSE 'Low' END AS level,
+          CASE WHEN 1.0::DOUBLE - {DIFFICULTY} > 0.7 THEN 'Easy' WHEN 1.0::DOUBLE - {DIFFICULTY} > 0.4 THEN 'Moderate' ELSE 'Difficult' END AS label,
+          printf('%.1f%%', dist[1] * 100 + 2e-9) AS percent, CASE WHEN list_no * 37.5 < 60 THEN printf('%.0f seconds', list_no * 37.5::DOUBLE + 2e-9) WHEN list_no * 37.5 < 3600 THEN printf('%.1f minutes', list_no * 37.5::DOUBLE / 60 + 2e-9)
+            ELSE printf('%.1f hours', list_no * 37.5::DOUBLE / 3600 + 2e-9) END AS took, CASE conditions WHEN 'dry' THEN 1 WHEN 'mixed' THEN 0.5 ELSE 0 END AS dryness,
           air_temp AS temperature, humidity, 0.9 AS grip, 'P' || predicted_position AS place_text FROM prediction""",
-        "race_id:s driver_id:s level:s label:s dryness:d temperature:d humidity:d grip:d place_text:s",
+        "race_id:s driver_id:s level:s label:s percent:s took:s dryness:d temperature:d humidity:d grip:d place_text:s",
     ),
 }
