@@ -239,3 +239,10 @@ def standings(results: DataFrame, entity: str) -> DataFrame:
         .drop("_n")
     )
     return totals.join(places, ["season", "round", "points"])
+
+
+def first_results(results: DataFrame) -> DataFrame:
+    """The first result of a driver in a race, in the order of the list, where a race lists a driver more than once."""
+    rest = [c for c in results.columns if c not in ("race_id", "driver_id")]
+    first = results.groupBy("race_id", "driver_id").agg(F.min_by(F.struct(*rest), "result_idx").alias("_r"))
+    return first.select("race_id", "driver_id", "_r.*").select(*results.columns)

@@ -253,16 +253,38 @@ def request_errors(requests: DataFrame) -> Column:
     empty = d.isNull() | (F.size(d) == 0)
     return F.array_compact(
         F.array(
-            F.when(blank("race_name"), F.lit("Race name is required")),
-            F.when(blank("circuit"), F.lit("Circuit is required")),
-            F.when(empty, F.lit("At least one driver is required")),
-            F.when(~empty & repeated(lambda x: x["grid_position"]), F.lit("Duplicate grid positions")),
-            F.when(~empty & repeated(lambda x: x["driver_id"]), F.lit("Duplicate drivers")),
-            F.when(F.col("weather").isNull(), F.lit("Weather is required")),
+            *[
+                F.when(wrong, F.lit(text))
+                for wrong, text in zip(
+                    (blank("race_name"), blank("circuit"), empty, ~empty & repeated(lambda x: x["grid_position"]), ~empty & repeated(lambda x: x["driver_id"]), F.col("weather").isNull()),
+                    values.REQUEST_ERRORS,
+                    strict=True,
+                )
+            ]
         )
     )
 
 
+def batch(requests: DataFrame, predictions: DataFrame, confidence: DataFrame) -> DataFrame:
+    """One row per nested request: winner and confidence of its prediction, or no winner, confidence 0 and the
+    messages of the rules that it breaks. A request without a prediction says so."""
+    errors = request_errors(requests)
+    checked = requests.select("race_id", "race_name", "circuit", F.when(F.size(errors) > 0, F.array_join(errors, "; ")).alias("_error"))
+    head = winners(predictions).select("race_id", F.col("driver_name").alias("_winner"))
+    done = head.join(confidence.select("race_id", "overall_confidence"), "race_id")
+    out = checked.join(done, "race_id", "left").withColumn("error", F.coalesce("_error", F.when(F.col("_winner").isNull(), F.lit("No prediction"))))
+    good = F.col("error").isNull()
+    return out.select("race_id", "race_name", "circuit", F.when(good, F.col("overall_confidence")).otherwise(0.0).alias("confidence"), F.when(good, F.col("_winner")).alias("winner"), "error")
+
+
+def grid_lookup(predictions: DataFrame, entries: DataFrame) -> DataFrame:
+    """Grid place of every prediction from request entries (race_id, entry_no, driver_id, name, grid_position): the first
+    entry that has its id or its name, else its place in the list. Each side is one row per key before the join."""
+    first = lambda key, to: entries.where(F.col(key).isNotNull()).groupBy("race_id", F.col(key).alias(to)).agg(F.min(F.struct("entry_no", "grid_position")).alias(f"_{to}"))
+    found = predictions.join(first("driver_id", "driver_id"), ["race_id", "driver_id"], "left").join(first("name", "driver_name"), ["race_id", "driver_name"], "left")
+    return found.withColumn("request_grid", F.coalesce(F.least("_driver_id", "_driver_name")["grid_position"], "list_no")).drop("_driver_id", "_driver_name")
+
+
 def accuracy_track(history: DataFrame, entity: str = "model") -> DataFrame:
     """Running accuracy per model: 1 - MAE/10 per evaluation, 0.7 old + 0.3 new.
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paddock import schemas
+from paddock import schemas, values
 from paddock.functions import parse
-from paddock.operators import quality, report
+from paddock.operators import form, prediction, report
 from paddock.plans import canonical
 from paddock.sources import combine, payloads, requests, stored
 from paddock.suite.base import Query, on_tables, predicted_query
@@ -112,17 +112,39 @@ def _csv_rows(t):
     )
 
 
+def _requests(p):
+    """Nested requests made of the predicted races, with faults sprinkled in by race number."""
+    k = F.substring_index("race_id", "_", -1).cast("long")
+    d = F.struct("list_no", "driver_id", F.when((k % 41 == 0) & (F.col("list_no") > 1), 1).otherwise(F.col("list_no")).cast("int").alias("grid_position"))
+    lists = p.predictions.groupBy("race_id", "race_name", "circuit").agg(F.transform(F.array_sort(F.collect_list(d)), lambda x: x.dropFields("list_no")).alias("drivers"))
+    repeated = F.concat("drivers", F.transform(F.slice("drivers", 1, 1), lambda x: x.withField("grid_position", F.lit(0).cast("int"))))
+    return lists.select(
+        "race_id", F.when(k % 19 == 0, " ").otherwise(F.col("race_name")).alias("race_name"), F.when(k % 23 != 0, F.col("circuit")).alias("circuit"),
+        F.when(k % 29 != 0, F.when(k % 37 == 0, repeated).otherwise(F.col("drivers"))).alias("drivers"), F.when(k % 31 != 0, "fair").alias("weather"),
+    )
+
+
 def _batch(p):
-    """Winner of each valid request; a request with a repeated grid place becomes an error row."""
-    repeated = quality.duplicates(p.predictions, "grid").groupBy("race_id").agg(F.count(F.lit(1)).alias("n"))
-    head = p.predictions.where(F.col("list_no") == 1).join(repeated, "race_id", "left").join(p.confidence.select("race_id", "overall_confidence"), "race_id")
-    bad = F.col("n").isNotNull()
-    return head.select(
-        "race_id", "circuit", F.when(bad, 0.0).otherwise(F.col("overall_confidence")).alias("confidence"), F.when(~bad, F.col("driver_name")).alias("winner"),
-        F.when(bad, F.lit("Duplicate grid positions")).alias("error"),
+    return prediction.batch(_requests(p), p.predictions, p.confidence)
+
+
+def _lookup(p):
+    """Entries that have an id, a name or both, and some without an entry."""
+    kind = F.col("list_no") % 4
+    entries = p.predictions.where(F.col("list_no") % 7 != 0).select(
+        "race_id", F.col("list_no").alias("entry_no"), F.when(kind != 1, F.col("driver_id")).alias("driver_id"), F.when(kind != 2, F.col("driver_name")).alias("name"), F.col("grid").alias("grid_position")
     )
+    again = entries.withColumns({"entry_no": F.col("entry_no") + 1000, "grid_position": F.lit(99)})
+    return prediction.grid_lookup(p.predictions, entries.unionByName(again))
+
+
+def _first_results(t):
+    """Every second race lists its drivers twice."""
+    twice = t.race_result.where(F.substring_index("race_id", "_", -1).cast("long") % 2 == 0).withColumns({"result_idx": F.col("result_idx") + 100000, "points": F.col("points") + 1})
+    return form.first_results(t.race_result.unionByName(twice.select(*[F.col(c).cast(t.race_result.schema[c].dataType) for c in t.race_result.columns])))
 
 
+_E = values.REQUEST_ERRORS
 _C = "CAST(string_split(race_id, '_')[2] AS BIGINT)"
 QUERIES = {
     "parse_lap_times": Query(
@@ -203,11 +225,18 @@ QUERIES = {
     ),
     "batch_results": predicted_query(
         _batch,
-        """WITH bad AS (SELECT DISTINCT race_id FROM (SELECT race_id, grid FROM prediction GROUP BY ALL HAVING count(*) > 1))
-        SELECT race_id, circuit, CASE WHEN bad.race_id IS NULL THEN overall_confidence ELSE 0 END AS confidence, CASE WHEN bad.race_id IS NULL THEN driver_name END AS winner,
-          CASE WHEN bad.race_id IS NOT NULL THEN 'Duplicate grid positions' END AS error FROM prediction JOIN confidence USING (race_id) LEFT JOIN bad USING (race_id) WHERE list_no = 1""",
+        f"""WITH q AS (SELECT *, concat_ws('; ', CASE WHEN {_C} % 19 = 0 THEN '{_E[0]}' END, CASE WHEN {_C} % 23 = 0 THEN '{_E[1]}' END, CASE WHEN {_C} % 29 = 0 THEN '{_E[2]}' END,
+            CASE WHEN {_C} % 29 <> 0 AND {_C} % 41 = 0 AND n_drivers > 1 THEN '{_E[3]}' END, CASE WHEN {_C} % 29 <> 0 AND {_C} % 37 = 0 THEN '{_E[4]}' END, CASE WHEN {_C} % 31 = 0 THEN '{_E[5]}' END) AS e
+          FROM prediction JOIN confidence USING (race_id) WHERE list_no = 1)
+        SELECT race_id, CASE WHEN {_C} % 23 <> 0 THEN circuit END AS circuit, CASE WHEN e = '' THEN overall_confidence ELSE 0 END AS confidence, CASE WHEN e = '' THEN driver_name END AS winner, nullif(e, '') AS error FROM q""",
         "race_id:s circuit:s confidence:d winner:s error:s",
     ),
+    "request_lookup": predicted_query(
+        _lookup, "SELECT race_id, driver_id, CASE WHEN list_no % 7 = 0 THEN list_no ELSE grid END AS request_grid FROM prediction", "race_id:s driver_id:s request_grid:b"
+    ),
+    "first_results": Query(
+        on_tables(_first_results), "SELECT * FROM race_result", "race_id:s driver_id:s result_idx:b grid_position:b final_position:b points:d status:s"
+    ),
     "display_labels": predicted_query(
         lambda p: p.predictions.select(
             "race_id", "driver_id", parse.confidence_text(F.col("confidence_score")).alias("level"), parse.overtaking_label(report.overtaking_factor(F.col("circuit"))).alias("label"),

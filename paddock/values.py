@@ -172,7 +172,8 @@ CONFIDENCE_WEIGHTS = {
     "data_quality": 0.2,
 }
 
-# Texts of insights, as printf patterns, and the reasons for which a driver is notable.
+# Texts of insights, as printf patterns, messages of bad requests, and the reasons
+# for which a driver is notable.
 INSIGHT_TEXTS = {
     "winner": "%s has the highest probability of winning with a confidence score of %.3f. Expected to finish in position %d with %.1f championship points.",
     "surprise": "%s is predicted to %s their grid position significantly, moving from P%d to P%d.",
@@ -183,4 +184,8 @@ INSIGHT_TEXTS = {
     "rookie_performance": "%s is predicted to deliver an outstanding performance, finishing P%d and potentially outperforming more experienced drivers.",
     "strategy": "Strategic pit timing could be crucial, with %s having a %.1f%% chance of overtaking %s.",
 }
+REQUEST_ERRORS = (
+    "Race name is required", "Circuit selection is required", "At least one driver must be configured",
+    "Duplicate grid positions detected", "Duplicate drivers detected", "Weather conditions must be specified",
+)
 NOTABLE_REASONS = ("High Confidence", "Podium Contender")

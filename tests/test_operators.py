@@ -210,7 +210,7 @@ def test_request_errors(spark):
         "race_name string, circuit string, drivers array<struct<driver_id:string,grid_position:int>>, weather map<string,string>",
     )
     a, b = [r.e for r in rows.select(prediction.request_errors(rows).alias("e")).collect()]
-    assert a == ["Duplicate grid positions"] and len(b) == 4
+    assert a == ["Duplicate grid positions detected"] and len(b) == 4
 
 
 def test_duplicate_rules(spark):
