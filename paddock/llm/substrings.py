@@ -158,3 +158,15 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
             yield batch.set_column(at, "text", pa.array(texts, pa.string())).drop_columns(["_spans"])
 
     return joined.mapInArrow(removed, docs.schema).toDF(*names)
+
+
+#: the contract's result in DuckDB; windows are compared by a digest of their words
+SQL = r"""
+WITH d AS (SELECT doc_id, CASE WHEN text IS NULL THEN CAST([] AS VARCHAR[]) ELSE regexp_extract_all(text, '[^\x20\x09-\x0D]+') END AS w FROM documents),
+k AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) AS h FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d WHERE len(w) >= 35)),
+r AS (SELECT doc_id, i FROM k QUALIFY count(*) OVER (PARTITION BY h) > 1),
+g AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 34)) AS i FROM r),
+x AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS i FROM d),
+s AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM x ANTI JOIN g USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN s USING (doc_id)
+"""

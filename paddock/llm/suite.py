@@ -39,4 +39,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op1_decontamination": decontamination.SQL,
+    "op5_suffixes": suffixes.SQL,
+    "op8_substrings": substrings.SQL,
 }
