@@ -40,6 +40,7 @@ HEADLINE = (
     "series_outliers",
     "stored_results",
     "csv_requests",
+    "trained_ridge_metrics",
 )
 
 
