@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paddock.plans.canonical import weather_or_default
+from paddock.sources import stored
 
 
 def fill_weather(race: DataFrame, readings: DataFrame, key: str = "race_id") -> DataFrame:
@@ -35,6 +36,12 @@ def fill_fastest_laps(results: DataFrame, laps: DataFrame) -> DataFrame:
     return out.withColumn("fastest_lap", F.coalesce("fastest_lap", "_lap")).drop("_code", "_lap")
 
 
+def collected(race: DataFrame, results: DataFrame, qualifying: DataFrame, readings: DataFrame, times: DataFrame, codes: DataFrame, laps: DataFrame) -> DataFrame:
+    """Race documents from header, results and qualifying of all races, with weather, qualifying times and fastest
+    laps of the second source where the first has none."""
+    return stored.documents(fill_weather(race, readings), fill_fastest_laps(results, laps), fill_qualifying(qualifying, times, codes))
+
+
 def union_seasons(*parts: DataFrame) -> DataFrame:
     """One race list from several sources or seasons; absent columns become NULL."""
     out = parts[0]

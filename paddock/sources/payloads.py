@@ -11,14 +11,15 @@ from paddock.functions import parse
 _QUARANTINE = "_corrupt_record"
 
 
-def read_payloads(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One row per payload file; unreadable files keep their text in ``_corrupt_record``."""
+def read_payloads(spark: SparkSession, path: str | list[str], lines: bool = False) -> DataFrame:
+    """One row per payload file, or per line of the files with ``lines``; unreadable payloads keep their text in
+    ``_corrupt_record``."""
     parsed = F.from_json("value", schemas.RACE_PAYLOAD, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _QUARANTINE})
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), parsed.alias("p")).select("file", "p.*")
+    return spark.read.text(path, wholetext=not lines).select(F.col("_metadata.file_path").alias("file"), parsed.alias("p")).select("file", "p.*")
 
 
 def quarantine(payloads: DataFrame) -> DataFrame:
-    """Unreadable files with their text, and whether any race could be read from them."""
+    """Unreadable payloads with file and text, and whether any race could be read from them."""
     partly = F.col("MRData").isNotNull().alias("partly_read")
     return payloads.where(F.col(_QUARANTINE).isNotNull()).select("file", partly, _QUARANTINE)
 
