@@ -7,7 +7,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from paddock import values
+from paddock import schemas, values
 from paddock.functions import parse, scores, transforms, weather
 from paddock.operators import evaluation, form, head_to_head, prediction, quality, report, sessions, tracks
 from paddock.plans.canonical import weather_or_default
@@ -250,3 +250,36 @@ def test_head_to_head_needs_two_races(spark):
     o = head_to_head.overall(head_to_head.common_races(pairs, results)).first()
     assert (o.total_races, o.driver1_wins, o.driver1_win_percentage, o.points_advantage_driver1) == (2, 2, 100.0, 10.0)
     assert head_to_head.overall(head_to_head.common_races(pairs, results.where("race_id = 'x'"))).count() == 0
+
+
+def test_places_of_a_race_in_several_documents(spark, tmp_path):
+    lap, weather = "named_struct('time_ms', cast(null as bigint), 'lap_number', cast(null as int))", schemas.WEATHER
+    race = spark.sql(f"select 'r1' race_id, 2020 season, 1 round, 'c' circuit_id, 'n' race_name, timestamp'2020-01-01' race_date, cast(null as {weather}) weather")
+    results = spark.sql(f"""select 'r1' race_id, cast(id as int) result_idx, concat('d', id) driver_id, 't' constructor_id, cast(id as int) grid_position, cast(id as int) final_position,
+        0D points, {lap} fastest_lap, 'finished' status, 1 laps_completed from range(7)""")
+    qualifying = spark.sql(f"select 'r1' race_id, cast(id + 1 as int) position, concat('d', id) driver_id, 't' constructor_id, {lap} q1, {lap} q2, {lap} q3 from range(7)")
+    for part in (3, 5000):
+        path = f"{tmp_path}/{part}"
+        stored.write_races(stored.documents(race, results, qualifying, part), path)
+        rows = stored.result_rows(stored.read_races(spark, path)).collect()
+        assert sorted((r.result_idx, r.driver_id) for r in rows) == [(i, f"d{i}") for i in range(7)]
+
+
+def test_second_source_does_not_repeat_rows(spark):
+    lap = lambda ms: f"named_struct('time_ms', {ms}L, 'lap_number', 1)"
+    results = spark.sql("select 'r' race_id, 'driver_1' driver_id, cast(null as struct<time_ms:bigint,lap_number:int>) fastest_lap")
+    laps = spark.sql(f"select 'r' race_id, 'DRI' driver_code, {lap(5)} lap union all select 'r', 'DRI', {lap(3)}")
+    assert [r.fastest_lap.time_ms for r in combine.fill_fastest_laps(results, laps).collect()] == [3]
+
+
+def test_day_with_most_rows_is_cut(spark):
+    rows = spark.range(3000).selectExpr("date_add(date'2020-01-01', cast(if(id % 10 = 0, id, 5) as int)) race_date", "concat('race_', id) race_id")
+    block = evaluation.text_block(F.col("race_id"), 6)
+    ordered = evaluation.time_order(rows, "race_date", "race_id", block=block).collect()
+    assert [r.row_no for r in sorted(ordered, key=lambda r: (r.race_date, r.race_id))] == list(range(1, 3001))
+    assert rows.groupBy("race_date", block).count().agg(F.max("count")).first()[0] <= 2
+
+
+def test_duration_and_percentage(spark):
+    r = spark.range(1).select(parse.duration(F.lit(12.4)), parse.duration(F.lit(90.0)), parse.duration(F.lit(5400.0)), parse.percentage(F.lit(0.256), 0)).first()
+    assert tuple(r) == ("12 seconds", "1.5 minutes", "1.5 hours", "26%")
