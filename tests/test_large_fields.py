@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pytest
+
 from paddock.operators import prediction, report
 from paddock.plans import canonical, predictions
 
@@ -39,8 +41,16 @@ class _Bare:
 
     class sparkContext:  # noqa: N801
         getCheckpointDir = staticmethod(lambda: None)
+        master = "local[2]"
+
+
+class _Cluster(_Bare):
+    class sparkContext(_Bare.sparkContext):  # noqa: N801
+        master = "spark://somewhere:7077"
 
 
 def test_folder_of_session(spark):
     assert canonical.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
     assert canonical.shared_folder(_Bare) == canonical.shared_folder(_Bare)
+    with pytest.raises(ValueError):
+        canonical.shared_folder(_Cluster)
