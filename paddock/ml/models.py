@@ -43,8 +43,9 @@ def available_models() -> list[str]:
     return sorted(PARAMETERS)
 
 
-def create_model(name: str, features: Sequence[str], rows: int | None = None, **overrides) -> Pipeline:
-    """An unfitted pipeline by registry name. Ridge needs the number of training rows for its penalty."""
+def create_model(name: str, features: Sequence[str], rows: int | None = None, spread: float = 1.0, **overrides) -> Pipeline:
+    """An unfitted pipeline by registry name. Ridge needs the number of training rows and the population standard
+    deviation of their label for its penalty."""
     if name not in PARAMETERS:
         raise ValueError(f"unknown model: {name}")
     params = {**PARAMETERS[name], **overrides}
@@ -55,9 +56,9 @@ def create_model(name: str, features: Sequence[str], rows: int | None = None, **
         source = "scaled_features"
     common = {"featuresCol": source, "labelCol": LABEL, "predictionCol": "y_pred"}
     if name == "ridge":
-        # sum-of-squares penalty alpha is alpha / n for the mean loss minimised here
+        # the penalty alpha of a sum of squares is alpha / n for the mean loss minimised here, on a label of deviation 1
         alpha = params.pop("alpha")
-        stages.append(LinearRegression(**common, **params, regParam=alpha / max(rows or 1, 1), elasticNetParam=0.0, standardization=False))
+        stages.append(LinearRegression(**common, **params, regParam=alpha * spread / max(rows or 1, 1), elasticNetParam=0.0, standardization=False))
     elif name == "random_forest":
         stages.append(RandomForestRegressor(**common, **params, seed=SEED))
     else:
@@ -71,8 +72,8 @@ def prepare(rows: DataFrame, features: Sequence[str], label: str) -> DataFrame:
 
 
 def fit(name: str, rows: DataFrame, features: Sequence[str], **overrides) -> PipelineModel:
-    n = rows.count() if name == "ridge" else None
-    return create_model(name, features, n, **overrides).fit(rows)
+    n, spread = rows.agg(F.count(F.lit(1)), F.stddev_pop(LABEL)).first() if name == "ridge" else (None, None)
+    return create_model(name, features, n, spread or 1.0, **overrides).fit(rows)
 
 
 def scored(model: PipelineModel, rows: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
