@@ -19,6 +19,7 @@ smallest number. Empty tables give no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,8 +32,8 @@ from paddock.llm.common import numbers, partitions, ragged, saved
 from paddock.llm.components import components
 
 COSINE = 0.9
-#: vectors that codebooks and reach are fitted on, at most; target recall; centroids of each half
-SAMPLE, RECALL, CENTROIDS = 8_000, 0.995, 64
+#: vectors that codebooks and reach are fitted on, at most, and the target recall
+SAMPLE, RECALL = 8_000, 0.998
 #: vectors in a block of a cell, and in a block of its visitors
 BLOCK = 512
 _NULL = -(2**63)
@@ -100,7 +101,12 @@ def _k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centroids
 
 
-def fit(sample: np.ndarray, cosine: float = COSINE, recall: float = RECALL, centroids: int = CENTROIDS) -> Index:
+def centroids_for(vectors: int) -> int:
+    """Centroids of each half: the cells, their square, grow as the vectors do, up to what the sample can fit."""
+    return min(SAMPLE // 8, max(16, math.isqrt(vectors) // 4))
+
+
+def fit(sample: np.ndarray, cosine: float = COSINE, recall: float = RECALL, centroids: int = 16) -> Index:
     """Codebooks, and the smallest reach at which the wanted share of the sample's linked pairs is visited."""
     cut = (sample.shape[1] + 1) // 2
     index = Index(_k_means(sample[:, :cut], centroids), _k_means(sample[:, cut:], centroids), 0.0)
@@ -282,7 +288,7 @@ def report(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", v
     for size in sorted(sizes):
         same = distinct.where(F.length("unit") == size)
         drawn = [r[0] for r in same.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("unit").collect()]  # SAMPLE vectors
-        index = fit(np.frombuffer(b"".join(drawn), "<f8").reshape(len(drawn), -1), cosine)
+        index = fit(np.frombuffer(b"".join(drawn), "<f8").reshape(len(drawn), -1), cosine, centroids=centroids_for(same.count()))
         part = links(same, index, cosine)
         found = part if found is None else found.unionByName(part)
     if found is None:
