@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: text units (bytes) handled at once inside a task; bounds the memory of the numpy arrays
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +72,15 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK) ->
             stop = max(start + 1, int(np.searchsorted(bounds, bounds[start] + limit, side="right")) - 1)
             yield batch.slice(start, stop - start)
             start = stop
+    give_back()
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system at the end of a task: Python workers live on, and all of an executor's
+    workers share its memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def numbers(column: pa.Array, null: int = -(2**63)) -> np.ndarray:

@@ -24,7 +24,7 @@ Empty tables give no rows. Other columns stay in `distinct_documents`.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paddock.llm.anchors import identified
-from paddock.llm.common import Words, byte_kinds, chunks, flat, gram_hashes, mix, numbers, partitions, ragged, saved, with_own_names
+from paddock.llm.common import Words, byte_kinds, chunks, flat, give_back, gram_hashes, mix, numbers, partitions, ragged, saved, with_own_names
 from paddock.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -107,7 +107,7 @@ def _draws() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rng.gamma(2.0, 1.0, DRAWS), np.log(rng.gamma(2.0, 1.0, DRAWS)), rng.random(DRAWS)
 
 
-@cache
+@lru_cache(maxsize=64)
 def _table(step: int) -> np.ndarray:
     """ln a of every draw for a weight of exp(step / STEPS), as an ordered number in the high 32 bits."""
     r, log_c, beta = _draws()
@@ -117,6 +117,11 @@ def _table(step: int) -> np.ndarray:
     return ordered.astype(np.uint64) << np.uint64(32)
 
 
+@lru_cache(maxsize=2)
+def _tables(steps: tuple[int, ...]) -> np.ndarray:
+    return np.concatenate([_table(step) for step in steps])
+
+
 _MULTIPLIERS = np.random.default_rng(13).integers(0, 2**63, SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -124,7 +129,7 @@ def signatures(rows: np.ndarray, shingles: np.ndarray, counts: np.ndarray, weigh
     """Rows that have shingles, and their SAMPLES consistent samples."""
     step = np.rint(STEPS * np.log(counts * weight_of[slot(shingles)])).astype(np.int64)
     kinds, kind = np.unique(step, return_inverse=True)
-    tables = np.concatenate([_table(int(k)) for k in kinds])
+    tables = _tables(tuple(kinds.tolist()))
     base = kind * DRAWS
     heads = np.concatenate([[0], np.flatnonzero(rows[1:] != rows[:-1]) + 1])
     out = np.empty((len(heads), SAMPLES), np.uint64)
@@ -212,6 +217,7 @@ def _with_one(pairs: DataFrame, texts: DataFrame, weight_of: np.ndarray, similar
     leaders = salted.select("a", "part").distinct().join(texts, F.col("a") == F.col("doc_id")).select(bucket, "a", F.lit(None).cast("long").alias("b"), "part", "text")
 
     def verify(table: pa.Table) -> pa.Table:
+        give_back()
         weights, least = sent.value
         table = table.sort_by([("a", "ascending"), ("part", "ascending"), ("b", "ascending")])
         a, part = numbers(table.column("a").combine_chunks()), table.column("part").to_numpy()
@@ -244,6 +250,7 @@ def _with_all(rows: DataFrame, texts: DataFrame, weight_of: np.ndarray, similari
     dealt = dealt.join(texts, dealt["id"] == texts["doc_id"]).select(bucket, "key", "id", "label", "block", "low", "high", "keys", "text")
 
     def verify(table: pa.Table) -> pa.Table:
+        give_back()
         weights, least = sent.value
         table = table.sort_by([("key", "ascending"), ("low", "ascending"), ("high", "ascending"), ("id", "ascending")])
         key, doc, label, block, low, high = (table.column(c).to_numpy() for c in ("key", "id", "label", "block", "low", "high"))
