@@ -52,14 +52,15 @@ def season_finales(race: DataFrame) -> DataFrame:
     return race.groupBy("season").agg(last.alias("r")).select("season", "r.*")
 
 
-def earlier_races(targets: DataFrame, races: DataFrame, first_season: int = 1950) -> DataFrame:
+def earlier_races(targets: DataFrame, races: DataFrame) -> DataFrame:
     """Pairs of a target race and each earlier race; an equi join on the season.
 
-    Each target is listed once per season it looks back on, so the output is targets times their
+    Each target is listed once per season from the first one of the data, so the output is targets times their
     history and no other row is compared.
     """
-    t = targets.select(
-        F.explode(F.sequence(F.lit(first_season), "season")).alias("season"),
+    first = races.agg(F.min("season").alias("_first")).withColumn("_all", F.lit(0))
+    t = targets.withColumn("_all", F.lit(0)).join(first, "_all").where(F.col("_first") <= F.col("season")).select(
+        F.explode(F.sequence("_first", "season")).alias("season"),
         F.col("race_id").alias("target_id"),
         F.col("race_date").alias("target_date"),
     )
