@@ -3,8 +3,10 @@
 Vectors are brought to length one and cut into halves. Each half has a codebook of its own, made by k-means on a
 bounded sample; a cell is a pair of centroids, one of each codebook. Every vector is put into its cell. The cells
 that a vector visits come from a multi-sequence traversal: pairs of centroids in the order of the sum of
-the squared distances of the halves, up to a reach. The reach is set on the sample, so that the share of
-linked pairs whose cell is visited attains the target. All vectors of the visited cells are compared by their
+the squared distances of the halves. Every vector goes `beyond` the distance of its own cell, and up to a common
+reach at least. Half the squared distance at the threshold is the least value of `beyond`, on every table; the
+sample raises it, where each vector with links outside its cell counts once, by the farthest of them, so that a large group of near
+copies, all in or beside one cell, does not outvote the others. The reach is set on linked pairs. All vectors of the visited cells are compared by their
 cosine in double precision, so no pair below the threshold is linked.
 
 Equal vectors stand in the index once, with their number. Vectors of one cell are dealt into blocks of at most
@@ -46,6 +48,7 @@ class Index:
     first: np.ndarray
     second: np.ndarray
     reach: float
+    beyond: float = 0.0
 
     def halves(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Squared distances of the halves to the centroids."""
@@ -56,13 +59,21 @@ class Index:
         a, b = self.halves(vectors)
         return a.argmin(1) * len(self.second) + b.argmin(1)
 
-    def visits(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def limits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How far each vector goes, from the distances of its halves."""
+        return np.maximum(self.reach, a.min(1) + b.min(1) + self.beyond)
+
+    def links_visits(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(vector, cell) of the visits that links are looked for in."""
+        return self.visits(vectors, self.limits(*self.halves(vectors)))
+
+    def visits(self, vectors: np.ndarray, limits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(vector, cell) of all visits. Both lists of centroids are sorted by distance; the traversal goes along
-        the sums in ascending order, and stops beyond the reach. The own cell is always visited."""
+        the sums in ascending order, and stops beyond the limits, or else the reach. The own cell is always visited."""
         a, b = self.halves(vectors)
         by_a, by_b = a.argsort(1), b.argsort(1)
         a, b = np.take_along_axis(a, by_a, 1), np.take_along_axis(b, by_b, 1)
-        limit = np.maximum(self.reach, a[:, 0] + b[:, 0])
+        limit = np.maximum(self.reach if limits is None else limits, a[:, 0] + b[:, 0])
         at, cell = [], []
         for i in range(a.shape[1]):
             rows = np.flatnonzero(a[:, i] + b[:, 0] <= limit)
@@ -80,7 +91,7 @@ class Index:
         """Does each vector visit the cell beside it?"""
         a, b = self.halves(vectors)
         rows = np.arange(len(vectors))
-        limit = np.maximum(self.reach, a.min(1) + b.min(1))
+        limit = self.limits(a, b)
         return a[rows, cell // len(self.second)] + b[rows, cell % len(self.second)] <= limit
 
 
@@ -107,12 +118,14 @@ def centroids_for(vectors: int) -> int:
 
 
 def fit(sample: np.ndarray, cosine: float = COSINE, recall: float = RECALL, centroids: int = 16) -> Index:
-    """Codebooks, and the smallest reach at which the wanted share of the sample's linked pairs is visited."""
+    """Codebooks, and how far the traversal goes: the smallest reach at which the wanted share of the sample's linked
+    pairs is visited, and how far beyond its own cell a vector must go to meet its links."""
     cut = (sample.shape[1] + 1) // 2
     index = Index(_k_means(sample[:, :cut], centroids), _k_means(sample[:, cut:], centroids), 0.0)
     a, b = index.halves(sample)
     i, j = a.argmin(1), b.argmin(1)
-    needed = []
+    own = a.min(1) + b.min(1)
+    needed, farthest = [], np.zeros(len(sample))
     for at in range(0, len(sample), 1000):
         linked = sample[at : at + 1000] @ sample.T >= cosine
         linked[np.arange(len(linked)), at + np.arange(len(linked))] = False
@@ -122,12 +135,13 @@ def fit(sample: np.ndarray, cosine: float = COSINE, recall: float = RECALL, cent
         one = a[p, i[q]] + b[p, j[q]]
         two = a[q, i[p]] + b[q, j[p]]
         needed.append(np.minimum(one, two))
+        np.maximum.at(farthest, p, np.minimum(one - own[p], two - own[q]))
     needed = np.sort(np.concatenate(needed))
-    # the squared distance at the threshold, where the sample has too few links to tell
-    apart = 2 - 2 * cosine
     reach = float(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) if len(needed) else 0.0
-    own = float(np.quantile(a.min(1) + b.min(1), 0.99))
-    return Index(index.first, index.second, max(reach, own if len(needed) < 100 else 0.0, 0.0) * 1.05 + (apart if len(needed) < 100 else 0.0))
+    outside = farthest[farthest > 0]
+    beyond = float(np.quantile(outside, recall, method="higher")) if len(outside) else 0.0
+    # half the squared distance at the threshold, however many links the sample has
+    return Index(index.first, index.second, reach * 1.05, max(beyond * 1.05, 1 - cosine))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -261,7 +275,7 @@ def links(units: DataFrame, index: Index, cosine: float) -> DataFrame:
                 if own:
                     yield batch.append_column("cell", pa.array(sent.value.cells(matrix), pa.int64()))
                 else:
-                    at, cell = sent.value.visits(matrix)
+                    at, cell = sent.value.links_visits(matrix)
                     yield batch.take(pa.array(at)).append_column("cell", pa.array(cell, pa.int64()))
 
         return place

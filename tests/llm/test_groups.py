@@ -228,6 +228,22 @@ def test_traversal_goes_by_ascending_sums():
     assert got == want
 
 
+def test_hot_group_does_not_hide_other_links():
+    """A third of the vectors are near copies of each other; the links of the others are found as well."""
+    rng = np.random.default_rng(3)
+    unit = lambda m: m / np.linalg.norm(m, axis=1)[:, None]
+    base = unit(rng.normal(size=(3000, 64)))
+    aside = rng.normal(size=(1000, 64))
+    aside = unit(aside - (aside * base[:1000]).sum(1)[:, None] * base[:1000])
+    x = np.concatenate([base, 0.93 * base[:1000] + (1 - 0.93**2) ** 0.5 * aside, unit(base[-1] + rng.normal(size=(2000, 64)) * 0.02)])
+    index = embeddings.fit(x, centroids=embeddings.centroids_for(len(x)))
+    own = index.cells(x)
+    visited = index.visited(x[:1000], own[3000:4000]) | index.visited(x[3000:4000], own[:1000])
+    assert visited.mean() >= embeddings.RECALL
+    at, cell = index.links_visits(x[:50])
+    assert set(zip(at.tolist(), cell.tolist(), strict=True)) == {(i, c) for i in range(50) for c in range(len(index.first) * len(index.second)) if index.visited(x[i : i + 1], np.array([c]))[0]}
+
+
 # ---- pipeline -----------------------------------------------------------------------------------
 
 
