@@ -15,8 +15,9 @@ the other, and by the visiting side alone for both where only one does. Blocks r
 links, edges that connect the same vectors.
 
 Rows: vectors that are null, of length zero, or with null or non-finite components link with nothing, and so do
-vectors whose number of components differs. Repeated rows (same id) count as one vector. A null id counts as the
-smallest number. Empty tables give no rows; other columns are ignored.
+vectors whose number of components differs. Repeated rows (same id) count as one vector. Rows with a null id are told apart by
+their vectors, one result row for each; a null id counts as smaller than any number, so a component with one has a
+null id, and keeps the first of its null-id rows by a hash of their vectors. Empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paddock.llm.common import numbers, partitions, ragged, saved
@@ -38,7 +39,6 @@ COSINE = 0.9
 SAMPLE, RECALL = 8_000, 0.998
 #: vectors in a block of a cell, and in a block of its visitors
 BLOCK = 512
-_NULL = -(2**63)
 
 
 @dataclass(frozen=True)
@@ -151,14 +151,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, unit): ids and vectors of length one, as bytes; unusable vectors are left out."""
+    """(id, row, unit): keys and vectors of length one, as bytes; unusable vectors are left out."""
 
     def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("vector")
             values = np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64)
             lengths = np.asarray([0 if n is None else n for n in column.value_lengths().to_pylist()], np.int64)
-            ids = numbers(batch.column("id"))
             edge = np.cumsum(lengths) - lengths
             keep, out = [], []
             for size in np.unique(lengths[lengths > 0]):
@@ -169,13 +168,20 @@ def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
                     matrix = matrix / scale[:, None]
                     matrix = matrix / np.sqrt((matrix**2).sum(1))[:, None]
                 fine = np.isfinite(matrix).all(1)
-                keep.append(ids[rows[fine]])
+                keep.append(rows[fine])
                 out += [r.astype("<f8").tobytes() for r in matrix[fine]]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keep)), pa.array(out, pa.binary())], names=["id", "unit"])
+                at = pa.array(np.concatenate(keep))
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("row").take(at), pa.array(out, pa.binary())], names=["id", "row", "unit"])
 
-    own = vectors.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)).alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where("vector is not null")
-    return own.mapInArrow(unit, "id long, unit binary").dropDuplicates(["id"])
+    own = _keyed(vectors, id_col, vector_col, F.col(vector_col).cast("array<double>").alias("vector")).where("vector is not null")
+    return own.mapInArrow(unit, "id long, row string, unit binary").dropDuplicates(["id", "row"])
+
+
+def _keyed(vectors: DataFrame, id_col: str, vector_col: str, *more: Column) -> DataFrame:
+    """(id, row): row is empty, and tells rows with a null id apart by their vectors."""
+    row = F.when(F.col(id_col).isNotNull(), "").otherwise(F.sha2(F.coalesce(F.col(vector_col).cast("string"), F.lit("")), 256))
+    return vectors.select(F.col(id_col).cast("long").alias("id"), row.alias("row"), *more)
 
 
 def _forest(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -226,7 +232,7 @@ def _compare(index: Index, cosine: float):
                 count = np.bincount(at, weights=copies).astype(np.int64)
                 a, b = _forest(q[p], m[r])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([who, a])), pa.array(np.concatenate([np.full(len(who), _NULL), b])), pa.array(np.concatenate([count, np.zeros(len(a), np.int64)]))],
+                    [pa.array(np.concatenate([who, a])), pa.concat_arrays([pa.nulls(len(who), pa.int64()), pa.array(b, pa.int64())]), pa.array(np.concatenate([count, np.zeros(len(a), np.int64)]))],
                     names=["a", "b", "n"],
                 )
 
@@ -295,27 +301,30 @@ def links(units: DataFrame, index: Index, cosine: float) -> DataFrame:
 def report(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector."""
     units = saved(_usable(vectors, id_col, vector_col), "units")
-    distinct = saved(units.groupBy("unit").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).select("rep", "copies", "unit"), "distinct")
-    every = vectors.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)).alias("id")).distinct()
+    # a vector that only null ids have stands in the index under a hash of it
+    rep = F.coalesce(F.min("id"), F.xxhash64("unit"))
+    distinct = units.groupBy("unit").agg(rep.alias("rep"), F.count("*").alias("copies"), F.min(F.when(F.col("row") != "", F.col("row"))).alias("nameless"))
+    distinct = saved(distinct.select("rep", "copies", "unit", "nameless"), "distinct")
+    every = _keyed(vectors, id_col, vector_col).distinct()
     sizes = [r[0] for r in distinct.select(F.length("unit")).distinct().collect()]  # lengths of vectors
     found = None
     for size in sorted(sizes):
-        same = distinct.where(F.length("unit") == size)
+        same = distinct.where(F.length("unit") == size).drop("nameless")
         drawn = [r[0] for r in same.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("unit").collect()]  # SAMPLE vectors
         index = fit(np.frombuffer(b"".join(drawn), "<f8").reshape(len(drawn), -1), cosine, centroids=centroids_for(same.count()))
         part = links(same, index, cosine)
         found = part if found is None else found.unionByName(part)
     if found is None:
-        return every.select(_null("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), _null("id").alias("component_id"), F.lit(True).alias("kept"))
+        return every.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     found = saved(found, "links")
-    counts = found.where(F.col("b") == _NULL).groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    labels = components(found.where((F.col("b") != _NULL) & (F.col("n") == 0)).select("a", "b"))
-    reps = distinct.select("rep", "copies", "unit").join(counts, "rep", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    reps = reps.select("unit", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("label", "rep").alias("component_id"))
-    known = units.join(reps, "unit").select("id", "n_links", "component_id")
-    out = every.join(known, "id", "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    return out.select(_null("id").alias("vec_id"), "n_links", _null("component_id").alias("component_id"), (F.col("id") == F.col("component_id")).alias("kept"))
-
-
-def _null(name: str):
-    return F.when(F.col(name) != _NULL, F.col(name))
+    counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
+    labels = components(found.where("b is not null").select("a", "b"))
+    reps = distinct.join(counts, "rep", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+    reps = reps.select("unit", "nameless", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("label", "rep").alias("label"))
+    nameless = reps.where("nameless is not null").groupBy("label").agg(F.min("nameless").alias("nameless"))
+    known = units.join(reps.drop("nameless"), "unit").join(nameless, "label", "left")
+    known = known.select(F.col("id").alias("_id"), F.col("row").alias("_row"), "n_links", "label", "nameless")
+    out = every.join(known, every["id"].eqNullSafe(known["_id"]) & (every["row"] == known["_row"]), "left")
+    component = F.when(F.col("label").isNull(), F.col("id")).when(F.col("nameless").isNull(), F.col("label"))
+    kept = F.when(F.col("label").isNull(), True).when(F.col("nameless").isNull(), F.col("id") == F.col("label")).otherwise(F.col("row") == F.col("nameless"))
+    return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), kept.alias("kept"))

@@ -244,6 +244,16 @@ def test_hot_group_does_not_hide_other_links():
     assert set(zip(at.tolist(), cell.tolist(), strict=True)) == {(i, c) for i in range(50) for c in range(len(index.first) * len(index.second)) if index.visited(x[i : i + 1], np.array([c]))[0]}
 
 
+def test_null_ids_inside_groups(spark):
+    """Null-id vectors link like others and stay apart by their vectors; the group holds together."""
+    at = lambda *v: [float(x) for x in v]
+    rows = [(1, at(10, 0, 0, 0)), (2, at(10, 1, 0, 0)), (None, at(10, 2, 0, 0)), (None, at(10, 2, 1, 0)), (None, at(10, 2, 1, 0)), (None, at(0, 0, 0, 1)), (7, at(0, 0, 1, 0)), (8, at(0, 0, 2, 0)), (None, None)]
+    out = embeddings.report(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    got = sorted(((r.vec_id or 0, r.n_links, r.component_id) for r in out), key=str)
+    assert got == sorted([(1, 3, None), (2, 3, None), (0, 3, None), (0, 3, None), (0, 0, None), (0, 0, None), (7, 1, 7), (8, 1, 7)], key=str)
+    assert sorted((r.vec_id or 0, r.n_links) for r in out if r.kept) == [(0, 0), (0, 0), (0, 3), (7, 1)]
+
+
 # ---- pipeline -----------------------------------------------------------------------------------
 
 
