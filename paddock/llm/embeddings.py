@@ -10,7 +10,8 @@ copies, all in or beside one cell, does not outvote the others. The reach is set
 cosine in double precision, so no pair below the threshold is linked.
 
 Equal vectors stand in the index once, with their number. Vectors of one cell are dealt into blocks of at most
-some `BLOCK` rows, visits of a cell likewise, and blocks meet blocks; a pair is counted by each side that visits
+some `BLOCK` rows. Visitors are packed by cell where they are read, dealt over copies of the blocks where a cell has many
+of them, and shuffled once, to the blocks; a pair is counted by each side that visits
 the other, and by the visiting side alone for both where only one does. Blocks return counts and, in place of all
 links, edges that connect the same vectors.
 
@@ -39,6 +40,8 @@ COSINE = 0.9
 SAMPLE, RECALL = 8_000, 0.998
 #: vectors in a block of a cell, and in a block of its visitors
 BLOCK = 512
+#: vectors whose visits are packed at once, and visits of a cell for each copy of its blocks
+PACK, VISITORS = 2_000, 4_096
 
 
 @dataclass(frozen=True)
@@ -239,7 +242,7 @@ def _compare(index: Index, cosine: float):
     return compare
 
 
-def _blocks(rows: DataFrame, prefix: str, blocks: int) -> DataFrame:
+def _blocks(rows: DataFrame, blocks: int) -> DataFrame:
     """Gathers rows (cell, block, rep, copies, unit) into packed blocks, one task per bucket of cells."""
 
     def pack(table: pa.Table) -> pa.Table:
@@ -247,55 +250,70 @@ def _blocks(rows: DataFrame, prefix: str, blocks: int) -> DataFrame:
         cell, block = (table.column(c).to_numpy() for c in ("cell", "block"))
         rep, copies = numbers(table.column("rep").combine_chunks()), table.column("copies").to_numpy()
         unit = table.column("unit").to_pylist()
-        size = np.array([len(u) for u in unit])
-        change = np.flatnonzero((cell[1:] != cell[:-1]) | (block[1:] != block[:-1]) | (size[1:] != size[:-1])) + 1
+        change = np.flatnonzero((cell[1:] != cell[:-1]) | (block[1:] != block[:-1])) + 1
         edge = np.concatenate([[0], change, [len(cell)]]).tolist()
         pairs = list(zip(edge[:-1], edge[1:], strict=True))
         return pa.table(
             {
                 "cell": pa.array(cell[edge[:-1]]),
-                f"{prefix}_ids": pa.array([rep[a:b].astype("<i8").tobytes() for a, b in pairs], pa.binary()),
-                f"{prefix}_copies": pa.array([copies[a:b].astype("<i8").tobytes() for a, b in pairs], pa.binary()),
-                f"{prefix}_units": pa.array([b"".join(unit[a:b]) for a, b in pairs], pa.binary()),
+                "block": pa.array(block[edge[:-1]]),
+                "m_ids": pa.array([rep[a:b].astype("<i8").tobytes() for a, b in pairs], pa.binary()),
+                "m_copies": pa.array([copies[a:b].astype("<i8").tobytes() for a, b in pairs], pa.binary()),
+                "m_units": pa.array([b"".join(unit[a:b]) for a, b in pairs], pa.binary()),
             }
         )
 
     bucketed = rows.withColumn("bucket", F.pmod(F.xxhash64("cell", "block"), F.lit(blocks)))
-    return bucketed.groupBy("bucket").applyInArrow(pack, f"cell long, {prefix}_ids binary, {prefix}_copies binary, {prefix}_units binary")
+    return bucketed.groupBy("bucket").applyInArrow(pack, "cell long, block long, m_ids binary, m_copies binary, m_units binary")
 
 
 def links(units: DataFrame, index: Index, cosine: float) -> DataFrame:
-    """(a, b, n) over distinct vectors (rep, copies, unit): rows with a null b give a's links, n of them; the
-    others connect a and b."""
+    """(a, b, n) over distinct vectors of one length (rep, copies, unit): rows with a null b give a's links, n of
+    them; the others connect a and b."""
     spark = units.sparkSession
     sent = spark.sparkContext.broadcast(index)
 
-    def placed(own: bool):
-        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            width = sent.value.first.shape[1] + sent.value.second.shape[1]
-            for batch in batches:
-                batch = batch.filter(pa.array([len(u) == 8 * width for u in batch.column("unit").to_pylist()], pa.bool_()))
-                if batch.num_rows == 0:
-                    continue
-                matrix = _matrix(batch.column("unit"))
-                if own:
-                    yield batch.append_column("cell", pa.array(sent.value.cells(matrix), pa.int64()))
-                else:
-                    at, cell = sent.value.links_visits(matrix)
-                    yield batch.take(pa.array(at)).append_column("cell", pa.array(cell, pa.int64()))
-
-        return place
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.append_column("cell", pa.array(sent.value.cells(_matrix(batch.column("unit"))), pa.int64()))
 
-    schema = "rep long, copies long, unit binary, cell long"
-    members, visits = units.mapInArrow(placed(True), schema), units.mapInArrow(placed(False), schema)
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch, np.ndarray]]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, PACK):
+                some = batch.slice(start, PACK)
+                matrix = _matrix(some.column("unit"))
+                at, cell = sent.value.links_visits(matrix)
+                by = cell.argsort(kind="stable")
+                yield at[by], cell[by], some, matrix
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, cell, _, _ in visits(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in np.unique(cell, return_counts=True)], names=["cell", "n"])
+
+    def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, cell, some, matrix in visits(batches):
+            rep, copies = numbers(some.column("rep")), numbers(some.column("copies"))
+            edges = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]])
+            edge = np.unique(np.concatenate([np.arange(a, b, BLOCK) for a, b in zip(edges[:-1], edges[1:], strict=True)] + [edges[-1:]])).tolist()
+            pairs = list(zip(edge[:-1], edge[1:], strict=True))
+            for k in range(0, len(pairs), 500):
+                part = pairs[k : k + 500]
+                packed = [pa.array([x[at[a:b]].astype(kind).tobytes() for a, b in part], pa.binary()) for x, kind in ((rep, "<i8"), (copies, "<i8"), (matrix, "<f8"))]
+                yield pa.RecordBatch.from_arrays([pa.array(cell[[a for a, _ in part]], pa.int64()), *packed], names=["cell", "q_ids", "q_copies", "q_units"])
+
+    members = units.mapInArrow(place, "rep long, copies long, unit binary, cell long")
     sizes = members.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    crowd = visits.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    dealt = lambda rows, by: rows.join(by, "cell").withColumn("block", F.pmod(F.xxhash64("rep"), "parts")).drop("parts")
+    crowd = units.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.ceil(F.sum("n") / VISITORS).alias("copies_of"))
+    # at most one row per cell, and the number of cells is bounded by the sample
+    cells = F.broadcast(saved(sizes.join(crowd, "cell"), "cells"))
     blocks = 4 * partitions(spark)
-    left = _blocks(dealt(visits.join(sizes.select("cell"), "cell", "left_semi"), crowd), "q", blocks)
-    right = _blocks(dealt(members, sizes), "m", blocks)
-    met = left.join(right, "cell").repartition(blocks, F.xxhash64("cell", "q_ids", "m_ids"))
-    return met.mapInArrow(_compare(index, cosine), _FOUND)
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    right = _blocks(members.join(cells, "cell").withColumn("block", F.pmod(F.xxhash64("rep"), "parts")).drop("parts", "copies_of"), blocks)
+    right = right.join(cells, "cell").withColumn("copy", upto("copies_of")).drop("parts", "copies_of")
+    left = units.mapInArrow(packs, "cell long, q_ids binary, q_copies binary, q_units binary").join(cells, "cell")
+    left = left.withColumn("copy", F.pmod(F.xxhash64("q_ids"), "copies_of")).withColumn("block", upto("parts")).drop("parts", "copies_of")
+    return left.join(right, ["cell", "block", "copy"]).mapInArrow(_compare(index, cosine), _FOUND)
 
 
 def report(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
