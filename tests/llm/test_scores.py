@@ -92,3 +92,18 @@ def test_licenses(spark, no_docs):
     assert {i: r.families for i, r in out.items()} == {1: "apache", 2: "mit", 3: "cc-by-nc", 4: "gpl,mit", 5: "", 6: "", 7: "", 8: "", 9: "lgpl", None: "bsd"}
     assert out[4].n_licensed == 2 and out[1].n_paragraphs == 3 and out[6].n_paragraphs == 0
     assert licenses.report(no_docs).count() == 0
+
+
+def test_license_texts_wrapped_names_and_short_forms(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted"
+    warranty = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY"
+    prose = "The harbour was quiet and the boats lay still in the morning light.\nNobody spoke about the software of the port."
+    texts = [
+        mit, bsd, isc, warranty, f"{prose}\n\n{mit}\n\n{prose}", "This work is licensed under the GNU General Public\nLicense, version 3", "Licensed under CC\nBY-NC 4.0", "GPLv3", "License: LGPLv3",
+        "BSD-3-Clause", "Apache 2.0", prose, "The Apache tribe lived there.", "You need a copyright license of the publisher for this software,\nand no warranty is given.",
+    ]
+    out = {r.doc_id: r for r in licenses.report(documents(spark, list(enumerate(texts)))).collect()}
+    assert [out[i].families for i in range(len(texts))] == ["mit", "bsd", "isc", "mit", "mit", "gpl", "cc-by-nc", "gpl", "lgpl", "bsd", "apache", "", "", ""]
+    assert out[5].n_licensed == 1 and out[5].n_paragraphs == 2
