@@ -6,7 +6,8 @@ by block. Texts are cut into words once per block, every window of a text probes
 hit counts only if the words themselves are equal. Only hits and one row per text are shuffled.
 
 Rows: a null or empty text has no words. Repeated rows (same id and text) give one result row; the same id
-with different texts gives one row per text. A null id is an id. Empty tables give no rows or no hits.
+with different texts gives one row per text. A null id is an id. Items with a null id hit like others
+(n_hit, contaminated, `clean`), but add nothing to n_items and items_sha256; the SQL counts them as one more in n_items. Empty tables give no rows or no hits.
 Other columns of the inputs are ignored, and kept by `clean`.
 """
 
@@ -67,7 +68,7 @@ def _located(place: Column, size: Column, lengths: list[int]) -> tuple[Column, C
 def windows(items: DataFrame, n: int = 10, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, list[int], int]:
     """Distinct windows (_hash, _window, _items) of all items, their lengths (at most n) and their number."""
     own = items.select(F.col(id_col).cast("string").alias("_item"), words(F.col(text_col)).alias("_words")).where(F.size("_words") > 0)
-    own = own.where(F.col("_item").isNotNull()).withColumn("_length", F.least(F.size("_words"), F.lit(n)))
+    own = own.withColumn("_length", F.least(F.size("_words"), F.lit(n)))
     lengths = sorted((r[0] for r in own.select("_length").distinct().collect()), reverse=True)
     if not lengths:
         return own, [], 0

@@ -152,3 +152,20 @@ def test_without_items(spark, docs, no_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.report(docs, none).where("contaminated").count() == 0
     assert decontamination.report(no_docs, spark.createDataFrame(ITEMS, "item_id long, text string")).count() == 0
+
+
+def test_items_with_a_null_id_hit_as_in_sql(spark):
+    """All but n_items, where the SQL counts the null id as one more (`test_contamination` does not)."""
+    import duckdb
+
+    text = [" ".join(f"w{i}" for i in range(12)), " ".join(f"v{i}" for i in range(11))]
+    docs, items = [(1, text[0]), (2, f"{text[0]} {text[1]}"), (3, "other words")], [(None, text[0]), (None, text[0] + " x"), (7, text[1])]
+    got = decontamination.report(documents(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.execute("create table benchmark (item_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", docs)
+    con.executemany("insert into benchmark values (?, ?)", items)
+    but = lambda rows: {(*r[:3], *r[4:]) for r in rows}
+    assert but(map(tuple, got)) == but(con.execute(decontamination.SQL).fetchall())
+    assert {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in got} == {1: (12, 0, True), 2: (23, 1, True), 3: (0, 0, False)}
