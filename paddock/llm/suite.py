@@ -6,18 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paddock.llm import decontamination, embeddings, language, licenses, minhash, packing, quality, sharding, substrings, suffixes
+from paddock.llm import alignment, centroids, decontamination, embeddings, fingerprints, language, licenses, minhash, packing, quality, sharding, substrings, suffixes
 from paddock.llm.common import table
 
 
-#: file of a public tokenizer, by its name in the installed collection
-TOKENIZER = "word_bpe_49k.json"
+#: files of public tokenizers, by their names in the installed collection
+TOKENIZER, BYTE_LEVEL, PIECES = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
-def tokenizer() -> str:
+def tokenizer(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
+
+
+def _aligned(docs: DataFrame) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.report(docs, tokenizer(BYTE_LEVEL), tokenizer(PIECES), public_tokenizers.PATTERN)
 
 
 def _documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -35,10 +41,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substrings": _documents(substrings.report),
     "op9_packing": _documents(lambda docs: packing.packed(docs, tokenizer())),
     "op10_minhash": _documents(minhash.report),
+    "op11_centroids": lambda spark, sf_dir: centroids.clusters(table(spark, sf_dir, "embeddings")),
+    "op12_alignment": _documents(_aligned),
+    "op13_fingerprints": _documents(fingerprints.report),
 }
 
 SQL: dict[str, str] = {
     "op1_decontamination": decontamination.SQL,
     "op5_suffixes": suffixes.SQL,
     "op8_substrings": substrings.SQL,
+    "op11_centroids": centroids.SQL,
 }
