@@ -91,6 +91,12 @@ class Ensemble:
     weights: dict[str, float] = field(default_factory=dict)
     meta: PipelineModel | None = None
     failures: dict[str, str] = field(default_factory=dict)
+    errors: dict[str, float] = field(default_factory=dict)
+
+    def comparison(self, spark: SparkSession) -> DataFrame:
+        """One row per base model: its mean absolute error on the held-out rows and its weight, or why it could not be trained."""
+        rows = [(n, self.errors.get(n), self.weights.get(n), None) for n in self.models] + [(n, None, None, why) for n, why in self.failures.items()]
+        return spark.createDataFrame(rows, "model string, mae double, weight double, error string")
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """Add ``y_pred`` to prepared rows; all base models run in one pass over the rows."""
@@ -114,11 +120,13 @@ class Ensemble:
 def train_ensemble(
     rows: DataFrame, features: Sequence[str], order: str, strategy: str = "weighted_average",
     bases: Sequence[str] = ENSEMBLE_BASES, overrides: Mapping[str, dict] | None = None, holdout: float = 0.3,
+    columns: Mapping[str, Sequence[str]] | None = None, refit: bool = False,
 ) -> Ensemble:
     """Fit base models on the earlier rows and weigh them on the later ones.
 
-    ``rows`` are prepared; ``order`` is a dense row number in time order. A base model that fails
-    is left out and noted. Only one weight per model comes to the driver.
+    ``rows`` are prepared and stored, as every model reads them; ``order`` is a dense row number in time order. A base model
+    that fails is left out and noted. ``columns`` gives a base features of its own; with ``refit`` the
+    models are fitted again on all rows once they are weighed. Only one weight and one error per model come to the driver.
     """
     if strategy not in ("weighted_average", "stacking", "voting", "dynamic"):
         raise ValueError(f"unknown strategy: {strategy}")
@@ -127,7 +135,7 @@ def train_ensemble(
     ensemble = Ensemble(strategy, list(features), {})
     for name in bases:
         try:
-            ensemble.models[name] = fit(name, train, features, **(overrides or {}).get(name, {}))
+            ensemble.models[name] = fit(name, train, (columns or {}).get(name, features), **(overrides or {}).get(name, {}))
         except Exception as error:  # noqa: BLE001 - a failing base model must not end the training
             ensemble.failures[name] = str(error)
     if not ensemble.models:
@@ -140,6 +148,10 @@ def train_ensemble(
     long = reduce(DataFrame.unionByName, [scored(m, valid, n, [order]) for n, m in ensemble.models.items()])
     chosen = evaluation.ensemble_weights(long).where(F.col("strategy") == strategy)
     ensemble.weights = {r["model"]: r["weight"] for r in chosen.collect()}
+    errors = long.groupBy("model").agg(F.avg(F.abs(F.col("y_pred") - F.col("y_true"))).alias("mae"))
+    ensemble.errors = {r["model"]: r["mae"] for r in errors.collect()}
+    if refit:
+        ensemble.models = {n: fit(n, rows, (columns or {}).get(n, features), **(overrides or {}).get(n, {})) for n in ensemble.models}
     return ensemble
 
 

@@ -295,3 +295,43 @@ def accuracy_track(history: DataFrame, entity: str = "model") -> DataFrame:
     score = F.greatest(F.lit(0.0), F.lit(1.0) - F.col("mae") / 10.0)
     weight = F.pow(F.lit(0.7), F.col("_last") - F.col("eval_no")) * F.when(F.col("eval_no") == 1, 1.0).otherwise(0.3)
     return history.join(last, entity).groupBy(entity).agg(F.sum(score * weight).alias("accuracy"), F.max("eval_no").alias("evaluations"))
+
+
+#: evaluations that still count in a running accuracy: 0.7^MEMORY is below the last bit of a double
+MEMORY = 128
+
+
+def accuracy_history(history: DataFrame, entity: str = "model") -> DataFrame:
+    """Accuracy of each model after every evaluation and before it: 1 - MAE/10, 0.7 old + 0.3 new, the first one whole.
+
+    ``history`` has one row per evaluation, numbered by ``eval_no``. The recursion forgets: after `MEMORY` evaluations the state
+    no longer shows in a double, so a moving frame of that many rows gives all of it and no state is carried from task to task."""
+    score = F.greatest(F.lit(0.0), F.lit(1.0) - F.col("mae") / 10.0)
+    rows = history.withColumn("score", score)
+    seen = framed(rows, [entity], "eval_no", {(1 - MEMORY, 0): {"_seen": lambda w: F.collect_list("score").over(w)}, (-MEMORY, -1): {"_before": lambda w: F.collect_list("score").over(w)}})
+    state = lambda c: F.when(F.size(c) > 0, F.aggregate(F.slice(c, 2, MEMORY), F.element_at(c, 1), lambda old, new: old * 0.7 + new * 0.3))
+    return seen.withColumns({"accuracy": state(F.col("_seen")), "accuracy_before": F.when(F.size("_before") > 0, state(F.col("_before")))}).drop("_seen", "_before")
+
+
+def confidence_as_of(confidence: DataFrame, history: DataFrame) -> DataFrame:
+    """Confidence of races with the mean accuracy that the models had before each race; races before the first
+    evaluation keep the default."""
+    known = history.groupBy("race_id").agg(F.avg("accuracy_before").alias("_accuracy"))
+    w = values.CONFIDENCE_WEIGHTS
+    joined = confidence.join(known, "race_id", "left").withColumn("historical_accuracy", F.coalesce("_accuracy", "historical_accuracy")).drop("_accuracy")
+    return joined.withColumn("overall_confidence", reduce(lambda a, b: a + b, [F.col(n) * x for n, x in w.items()]))
+
+
+def fitted(requests: DataFrame, scored: DataFrame, bases: list[str]) -> DataFrame:
+    """Ranked predictions of requests from a fitted ensemble: ``scored`` has race_id, driver_id, y_pred and a column of each base
+    model; the deviation across them gives the confidence."""
+    mean = reduce(lambda a, b: a + b, [F.col(b) for b in bases]) / len(bases)
+    square = reduce(lambda a, b: a + b, [(F.col(b) - mean) * (F.col(b) - mean) for b in bases]) / len(bases)
+    rows = scored.select("race_id", "driver_id", F.col("y_pred").alias("adjusted"), F.sqrt(square).alias("spread"), *bases)
+    return predict(requests.join(rows, ["race_id", "driver_id"]))
+
+
+def base_rows(predictions: DataFrame, bases: dict[str, str]) -> DataFrame:
+    """Predictions of the base models in long form: race_id, driver_id, model, y_pred."""
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), F.col(c).alias("y_pred")) for n, c in bases.items()]))
+    return predictions.select("race_id", "driver_id", each.alias("m")).select("race_id", "driver_id", "m.*")

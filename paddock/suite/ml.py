@@ -5,34 +5,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paddock.ml import models
-from paddock.operators import evaluation, prediction
-from paddock.plans.predictions import requests
+from paddock.ml import gram, models
+from paddock.operators import evaluation
+from paddock.plans import training
+from paddock.plans.training import FEATURES
 from paddock.suite.base import Query, on_tables
 
-FEATURES = (
-    "qualifying_position", "constructor_championship_points", "track_temperature", "air_temperature", "humidity", "wind_speed", "weather_dry",
-    "car_performance_rating", "driver_skill_rating", "consistency_rating", "wet_weather_skill", "circuit_overtaking_factor", "qualifying_importance",
-)
+def _ridge(spark, sf_dir):
+    """Places of the last fifth of the rows from a line through the earlier ones."""
+    rows = training.matrix(spark, sf_dir)
+    line = gram.fit(rows.where(~F.col("is_test")), FEATURES)
+    return rows.where("is_test").select("race_id", "driver_id", F.lit("ridge").alias("model"), F.col(models.LABEL).alias("y_true"), line.expression(FEATURES).alias("y_pred"))
 
 
-def training_rows(t):
-    """Model input of classified finishers with their place, numbered in time order."""
-    outcome = t.race_result.where("finished").select("race_id", "driver_id", "race_date", "final_position")
-    rows = prediction.model_input(requests(t)).join(outcome, ["race_id", "driver_id"])
-    ordered = evaluation.time_order(rows.withColumn("row_key", F.struct("race_id", "driver_id")), "race_date", "row_key").drop("row_key")
-    return models.prepare(ordered, FEATURES, "final_position")
-
-
-def _ridge(t):
-    rows = evaluation.temporal_split(training_rows(t))
-    model = models.fit("ridge", rows.where(~F.col("is_test")), FEATURES)
-    return models.scored(model, rows.where("is_test"), "ridge", ["race_id", "driver_id"])
-
-
-def _forest(t):
-    spark = t.race.sparkSession
-    model = models.fit("random_forest", training_rows(t), FEATURES, numTrees=10, maxDepth=5)
+def _forest(spark, sf_dir):
+    model = models.fit("random_forest", training.matrix(spark, sf_dir), FEATURES, numTrees=10, maxDepth=5)
     return spark.createDataFrame(models.feature_importance(model, FEATURES), "feature string, importance double")
 
 
@@ -61,9 +48,9 @@ QUERIES = {
     "closed_boosting": Query(_closed("gradient_boosting", maxIter=1, subsamplingRate=1.0, **_ONE_TREE), _LEAVES % "gradient_boosting", _FITTED),
     "closed_xgboost": Query(_closed("xgboost", maxIter=1, subsamplingRate=1.0, **_ONE_TREE), _LEAVES % "xgboost", _FITTED),
     "trained_ridge_metrics": Query(
-        on_tables(lambda t: evaluation.core_metrics(_ridge(t))), None,
+        lambda spark, sf_dir: evaluation.core_metrics(_ridge(spark, sf_dir)), None,
         "model:s n:b mae:d rmse:d median_absolute_error:d within_3_pct:d within_5_pct:d within_10_pct:d exact_pct:d spearman_correlation:d",
     ),
-    "trained_ridge_predictions": Query(on_tables(_ridge), None, "race_id:s driver_id:s y_true:d y_pred:d"),
-    "trained_forest_importance": Query(on_tables(_forest), None, "feature:s importance:d"),
+    "trained_ridge_predictions": Query(_ridge, None, "race_id:s driver_id:s y_true:d y_pred:d"),
+    "trained_forest_importance": Query(_forest, None, "feature:s importance:d"),
 }
