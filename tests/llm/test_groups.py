@@ -107,13 +107,37 @@ def test_plan_uses_every_length_once():
         for k, n in one.items():
             used[k] += n * times
     assert (used == counts).all()
-    assert sum(t for _, t in plan) <= 1.02 * (lengths * counts).sum() / 512 + 1
-    fractional = packing.configurations(lengths, counts, 512)
+    assert sum(t for _, t in plan) <= 1.005 * (lengths * counts).sum() / 512 + 1
+
+
+@pytest.mark.parametrize(("lengths", "counts", "optimum"), [
+    ([342, 410, 511, 683, 1024], [3000] * 5, 4500),  # best fit alone needs 4575
+    ([682, 1366], [500, 400], 400 + 34), ([2048], [9], 9), ([1], [5000], 3), ([1024, 1025], [10, 10], 15),
+])
+def test_configuration_program(lengths, counts, optimum):
+    """Fractional solutions cover every length and lie at a proven bound; the plan is rounded from them."""
+    lengths, counts = np.array(lengths), np.array(counts)
+    pool, used, bound = packing.fractional(lengths, counts, 2048)
     covered = np.zeros(len(lengths))
-    for key, x in fractional.items():
-        for k in key:
-            covered[k] += x
-    assert (covered >= counts - 1e-6).all()
+    for one, x in zip(pool, used):
+        assert sum(lengths[k] * n for k, n in one.items()) <= 2048
+        for k, n in one.items():
+            covered[k] += n * x
+    assert (covered >= counts - 1e-6).all() and bound <= optimum + 1e-6
+    assert used.sum() <= bound * 1.002
+    assert sum(t for _, t in packing.plan(lengths, counts, 2048)) == optimum
+
+
+def test_knapsack_is_bounded():
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        m = rng.integers(1, 5)
+        lengths, counts, prices = np.sort(rng.choice(np.arange(1, 12), m, replace=False)), rng.integers(1, 4, m), rng.random(m)
+        table = packing.Knapsack(prices, lengths, counts, 20)
+        best = max(sum(p * n for p, n in zip(prices, some)) for some in np.ndindex(*(counts + 1)) if (lengths * some).sum() <= 20)
+        one = table.best(20)
+        assert table.value[20] == pytest.approx(best) == pytest.approx(sum(prices[k] * n for k, n in one.items()))
+        assert all(n <= counts[k] for k, n in one.items()) and sum(lengths[k] * n for k, n in one.items()) <= 20
 
 
 # ---- near duplicates ----------------------------------------------------------------------------
