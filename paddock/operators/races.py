@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paddock.functions import weather
-from paddock.plans.blocks import exact_quantiles
+from paddock.plans.blocks import framed, number_rows
 
 
 def metadata(race: DataFrame) -> DataFrame:
@@ -52,79 +54,91 @@ def season_finales(race: DataFrame) -> DataFrame:
     return race.groupBy("season").agg(last.alias("r")).select("season", "r.*")
 
 
-def earlier_races(targets: DataFrame, races: DataFrame) -> DataFrame:
-    """Pairs of a target race and each earlier race; an equi join on the season.
-
-    Each target is listed once per season from the first one of the data, so the output is targets times their
-    history and no other row is compared.
-    """
-    first = races.agg(F.min("season").alias("_first")).withColumn("_all", F.lit(0))
-    t = targets.withColumn("_all", F.lit(0)).join(first, "_all").where(F.col("_first") <= F.col("season")).select(
-        F.explode(F.sequence("_first", "season")).alias("season"),
-        F.col("race_id").alias("target_id"),
-        F.col("race_date").alias("target_date"),
+def weather_comparison(race: DataFrame) -> DataFrame:
+    """Weather of every race against the mean of all races before its day, and their median temperature; races of the
+    first day have no row. History depends on the day alone: means come from running totals of days, of which there
+    is one row per calendar day at most."""
+    names = ("temperature", "humidity", "wind_speed")
+    rows = race.select("race_id", "race_date", *[F.col(f"weather.{n}").alias(n) for n in names])
+    totals = rows.groupBy("race_date").agg(*[F.sum(n).alias(f"_{n}") for n in names], *[F.count(n).alias(f"_n_{n}") for n in names])
+    before = Window.orderBy("race_date").rowsBetween(Window.unboundedPreceding, -1)
+    means = totals.select("race_date", *[F.try_divide(F.sum(f"_{n}").over(before), F.sum(f"_n_{n}").over(before)).alias(f"_{n}") for n in names])
+    days = means.join(earlier_medians(rows, "race_date", "temperature").withColumnRenamed("median", "temp_percentile"), "race_date")
+    gap = lambda n, to: (F.col(n) - F.col(f"_{n}")).alias(to)
+    return rows.join(F.broadcast(days), "race_date").select(
+        "race_id", gap("temperature", "temp_vs_avg"), "temp_percentile", gap("humidity", "humidity_vs_avg"), gap("wind_speed", "wind_vs_avg")
     )
-    return races.join(t, "season").where(F.col("race_date") < F.col("target_date"))
 
 
-def weather_comparison(targets: DataFrame, race: DataFrame) -> DataFrame:
-    """Weather of target races against the mean of all earlier races, and the median temperature."""
-    history = earlier_races(
-        targets, race.select("season", "race_date", *[F.col(f"weather.{n}").alias(n) for n in ("temperature", "humidity", "wind_speed")])
-    )
-    means = history.groupBy("target_id").agg(*[F.avg(n).alias(f"_{n}") for n in ("temperature", "humidity", "wind_speed")])
-    median = exact_quantiles(history, ["target_id"], "temperature", {"temp_percentile": 0.5}, F.floor("temperature"))
+#: children of a node of the tree of values, as bits
+_BITS = 8
+
+
+def earlier_medians(rows: DataFrame, day: str, value: str) -> DataFrame:
+    """Median of all values before each day, exact: rows (day, median) for days with an earlier value.
+
+    Distinct values are numbered, and their numbers are the leaves of a tree with 256 children to a node. Counts by node and day are summed
+    up over the days, and each day goes down the tree by rank, to the value in the middle and the one before it. Days meet only the
+    children of the node that they stand at, so rows are days times 256 at each level and no day is paired with its history."""
+    known = rows.where(F.col(value).isNotNull()).select(F.col(day).alias("day"), F.col(value).cast("double").alias("v"))
+    leaves = number_rows(known.select("v").distinct(), [], [F.col("v")], F.floor("v"), "leaf").withColumn("leaf", F.col("leaf") - 1)
+    counts = known.groupBy("day", "v").agg(F.count(F.lit(1)).alias("n")).join(leaves, "v").select("day", "leaf", "n")
+    most = leaves.agg(F.max("leaf")).first()[0] or 0  # one number: the height of the tree
+    levels = max(1, -(-int(most).bit_length() // _BITS))
+    per_day = rows.groupBy(F.col(day).alias("day")).agg(F.count(value).alias("n"))
+    before = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.col("size")
+    asked = per_day.select("day", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("size")).where("size > 0")
+    rank = lambda side, k: F.struct(F.lit(side).alias("side"), F.floor(k).alias("k"))
+    asked = asked.select("day", F.lit(0).cast("long").alias("node"), F.explode(F.array(rank(0, (size - 1) / 2), rank(1, size / 2))).alias("q"))
+    asked = asked.select("day", "node", "q.side", "q.k")
+    for level in range(levels):
+        child = F.shiftright("leaf", _BITS * (levels - 1 - level))
+        used = asked.select("node").distinct()
+        at_level = counts.groupBy("day", child.alias("child")).agg(F.sum("n").alias("n")).withColumn("node", F.shiftright("child", _BITS)).join(used, "node")
+        visits = asked.select("day", "node").distinct().join(at_level.select("node", "child").distinct(), "node")
+        both = at_level.select("day", "child", "node", "n", F.lit(False).alias("asked")).unionByName(visits.select("day", "child", "node", F.lit(0).cast("long").alias("n"), F.lit(True).alias("asked")))
+        earlier = Window.partitionBy("child").orderBy(F.datediff("day", F.lit("1970-01-01").cast("date"))).rangeBetween(Window.unboundedPreceding, -1)
+        seen = both.withColumn("seen", F.coalesce(F.sum("n").over(earlier), F.lit(0))).where("asked").select("day", "node", "child", "seen")
+        upto = Window.partitionBy("day", "node").orderBy("child").rowsBetween(Window.unboundedPreceding, -1)
+        placed = seen.withColumn("less", F.coalesce(F.sum("seen").over(upto), F.lit(0)))
+        asked = asked.join(placed, ["day", "node"]).where((F.col("less") <= F.col("k")) & (F.col("k") < F.col("less") + F.col("seen")))
+        asked = asked.select("day", F.col("child").alias("node"), "side", (F.col("k") - F.col("less")).alias("k"))
+    found = asked.join(leaves, asked["node"] == leaves["leaf"])
+    return found.groupBy(F.col("day").alias(day)).agg(F.avg("v").alias("median"))
+
+
+def field_strength(race: DataFrame, results: DataFrame, last: int = 10) -> DataFrame:
+    """Distinct drivers of the ``last`` races before the day of every race, and its constructor diversity; races of the first day
+    have no row.
+
+    Races are numbered in time order. A driver of race n is the newest start of that driver for the races up to the next
+    one, so race n adds the drivers whose next start is more than d races on to the count that holds d races later:
+    ``last`` numbers per race, whatever the field."""
+    numbered = time_numbers(race.select("race_id", "race_date"))
+    starts = results.select("race_id", "driver_id", "start_no").join(numbered.select("race_id", "race_no"), "race_id")
+    following = framed(starts, ["driver_id"], "start_no", {(1, 1): {"_next": lambda w: F.first("race_no").over(w)}})
+    lasts = F.coalesce(F.col("_next") - F.col("race_no"), F.lit(last))
+    adds = following.groupBy("race_no").agg(*[F.count_if(lasts > d).alias(f"_{d}") for d in range(last)])
+    spread = adds.select(F.explode(F.array(*[F.struct((F.col("race_no") + d).alias("at"), F.col(f"_{d}").alias("n")) for d in range(last)])).alias("s"))
+    sizes = spread.groupBy("s.at").agg(F.sum("s.n").alias("field_size"))
+    first = numbered.groupBy("race_date").agg((F.min("race_no") - 1).alias("at"))  # one row per calendar day
+    teams = results.groupBy("race_id").agg(F.count_distinct("constructor_id").alias("constructor_diversity"))
+    by_day = first.join(sizes, "at")
     return (
-        targets.withColumnRenamed("race_id", "target_id")
-        .join(means, "target_id")
-        .join(median, "target_id")
+        race.select("race_id", "race_date").join(F.broadcast(by_day.select("race_date", "field_size")), "race_date").join(teams, "race_id")
         .select(
-            F.col("target_id").alias("race_id"),
-            (F.col("weather.temperature") - F.col("_temperature")).alias("temp_vs_avg"),
-            "temp_percentile",
-            (F.col("weather.humidity") - F.col("_humidity")).alias("humidity_vs_avg"),
-            (F.col("weather.wind_speed") - F.col("_wind_speed")).alias("wind_vs_avg"),
+            "race_id", "field_size", "constructor_diversity", F.least("field_size", F.lit(8)).alias("championship_contenders"),
+            F.least(F.col("constructor_diversity") / 10.0, F.lit(1.0)).alias("competitive_balance"),
         )
     )
 
 
-def field_strength(targets: DataFrame, race: DataFrame, results: DataFrame, last: int = 10) -> DataFrame:
-    """Distinct drivers of the ``last`` races before each target, and its constructor diversity."""
-    recent = _last_before(targets, race, last)
-    drivers = results.select("race_id", "driver_id").join(recent, "race_id").groupBy("target_id").agg(
-        F.count_distinct("driver_id").alias("field_size")
-    )
-    teams = (
-        results.select("race_id", "constructor_id")
-        .join(targets.select("race_id"), "race_id")
-        .groupBy(F.col("race_id").alias("target_id"))
-        .agg(F.count_distinct("constructor_id").alias("constructor_diversity"))
-    )
-    return (
-        drivers.join(teams, "target_id")
-        .withColumnRenamed("target_id", "race_id")
-        .withColumns(
-            {
-                "championship_contenders": F.least("field_size", F.lit(8)),
-                "competitive_balance": F.least(F.col("constructor_diversity") / 10.0, F.lit(1.0)),
-            }
-        )
-    )
-
-
-def _last_before(targets: DataFrame, race: DataFrame, last: int) -> DataFrame:
-    history = earlier_races(targets, race.select("season", "race_id", "race_date"))
-    # first the last races of each (target, season), then of each target
-    newest = lambda *keys: F.row_number().over(
-        Window.partitionBy(*keys).orderBy(F.col("race_date").desc(), F.col("race_id").desc())
-    )
-    return (
-        history.withColumn("_n", newest("target_id", "race_date"))
-        .where(F.col("_n") <= last)
-        .withColumn("_n", newest("target_id"))
-        .where(F.col("_n") <= last)
-        .select("target_id", "race_id")
-    )
+def time_numbers(race: DataFrame) -> DataFrame:
+    """Number of every race in the order of dates and ids, counted day by day and by the beginning of the id inside a day."""
+    day = F.datediff("race_date", F.lit("1970-01-01").cast("date")).cast("long")
+    begin = reduce(lambda acc, i: acc * 128 + F.least(F.coalesce(F.ascii(F.substring("race_id", i, 1)).cast("long"), F.lit(0)), F.lit(127)), range(len("race_") + 1, len("race_") + 5), F.lit(0))
+    return number_rows(race, [], [F.col("race_date"), F.col("race_id")], day * 2**28 + begin, "race_no", upper=day)
 
 
 def guarded_correlation(x: Column, y: Column) -> Column:

@@ -127,19 +127,19 @@ QUERIES = {
         f"{_META_COLUMNS} {_BASIC_COLUMNS} weather_condition:s grid_spread:b avg_grid_position:d grid_competitiveness:d",
     ),
     "weather_comparison": Query(
-        on_tables(lambda t: races.weather_comparison(races.season_finales(t.race), t.race)),
-        f"""WITH finale AS ({_FINALE}), h AS (SELECT target_id, avg(temperature) AS t, quantile_cont(temperature, 0.5) AS q, avg(humidity) AS h, avg(wind_speed) AS w
-          FROM finale JOIN race ON race_date < target_date GROUP BY target_id)
+        on_tables(lambda t: races.weather_comparison(t.race)),
+        """WITH h AS (SELECT t.race_id, avg(h.temperature) AS t, quantile_cont(h.temperature, 0.5) AS q, avg(h.humidity) AS h, avg(h.wind_speed) AS w
+          FROM race t JOIN race h ON h.race_date < t.race_date GROUP BY t.race_id)
         SELECT race_id, temperature - t AS temp_vs_avg, q AS temp_percentile, humidity - h AS humidity_vs_avg, wind_speed - w AS wind_vs_avg
-        FROM h JOIN race ON race_id = target_id""",
+        FROM h JOIN race USING (race_id)""",
         "race_id:s temp_vs_avg:d temp_percentile:d humidity_vs_avg:d wind_vs_avg:d",
     ),
     "field_strength": Query(
-        on_tables(lambda t: races.field_strength(races.season_finales(t.race), t.race, t.race_result)),
-        f"""WITH finale AS ({_FINALE}), recent AS (SELECT target_id, race_id FROM finale JOIN race ON race_date < target_date
-            QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY race_date DESC, race_id DESC) <= 10),
+        on_tables(lambda t: races.field_strength(t.race, t.race_result)),
+        """WITH recent AS (SELECT t.race_id AS target_id, h.race_id FROM race t JOIN race h ON h.race_date < t.race_date
+            QUALIFY row_number() OVER (PARTITION BY t.race_id ORDER BY h.race_date DESC, h.race_id DESC) <= 10),
           a AS (SELECT target_id, count(DISTINCT driver_id) AS field_size FROM recent JOIN race_result USING (race_id) GROUP BY 1),
-          b AS (SELECT target_id, count(DISTINCT constructor_id) AS constructor_diversity FROM finale JOIN race_result ON race_id = target_id GROUP BY 1)
+          b AS (SELECT race_id AS target_id, count(DISTINCT constructor_id) AS constructor_diversity FROM race_result GROUP BY 1)
         SELECT target_id AS race_id, field_size, least(field_size, 8) AS championship_contenders, constructor_diversity,
           least(constructor_diversity / 10, 1) AS competitive_balance FROM a JOIN b USING (target_id)""",
         "race_id:s field_size:b championship_contenders:b constructor_diversity:b competitive_balance:d",
