@@ -145,8 +145,8 @@ def _question_rows(owner: np.ndarray, anchor: np.ndarray, bucket: np.ndarray, se
 
 
 def shared(docs: DataFrame, w: Windows, buckets: int) -> DataFrame:
-    """(doc_id, hashes): for every text the anchors that occur elsewhere too, packed, in one row or several.
-    With `within`, elsewhere may be in the same text. `docs` has doc_id and text."""
+    """(doc_id, hashes): for every text the anchors that occur elsewhere too, packed in one row. What a bucket of anchors
+    answers goes in one row to each bucket of texts, and is sorted by text there. With `within`, elsewhere may be in the same text. `docs` has doc_id and text."""
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors, owners, held = [], [], 0
@@ -197,13 +197,23 @@ def shared(docs: DataFrame, w: Windows, buckets: int) -> DataFrame:
             many[order] = np.bincount(group)[group] > 1
             ready.append((owner[many & ~done], anchor[many & ~done]))
         owner, anchor = (np.concatenate([r[i] for r in ready]) for i in (0, 1))
+        return pa.Table.from_batches([_question_rows(owner, anchor, owner % buckets, np.ones(len(owner), bool), True)])
+
+    def answered(table: pa.Table) -> pa.Table:
+        owners, hashes = [np.zeros(0, np.int64)], [to_bytes(np.zeros(0, np.uint64))]
+        for o, c, h in zip(*(table.column(x).to_pylist() for x in ("owners", "counts", "hashes")), strict=True):
+            owners.append(np.repeat(np.frombuffer(o, "<i8"), np.frombuffer(c, "<i4")))
+            hashes.append(np.frombuffer(h, np.uint8).reshape(-1, HASH_BYTES))
+        owner, raw = np.concatenate(owners), np.concatenate(hashes)
         order = np.argsort(owner, kind="stable")
-        owner, raw = owner[order], to_bytes(anchor[order])
+        owner, raw = owner[order], raw[order]
         pieces = cuts(owner)
         return pa.table({"doc_id": pa.array([int(owner[a]) for a, _ in pieces], pa.int64()), "hashes": pa.array([raw[a:b].tobytes() for a, b in pieces], pa.binary())})
 
-    questions = docs.mapInArrow(gathered, "bucket int, marks boolean, owners binary, counts binary, hashes binary, settled binary")
-    return questions.groupBy("bucket").applyInArrow(decided, "doc_id long, hashes binary")
+    packed = "bucket int, marks boolean, owners binary, counts binary, hashes binary, settled binary"
+    questions = docs.mapInArrow(gathered, packed)
+    answers = questions.groupBy("bucket").applyInArrow(decided, packed)
+    return answers.groupBy("bucket").applyInArrow(answered, "doc_id long, hashes binary")
 
 
 # ---- step 2 ------------------------------------------------------------------------------------
