@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -169,3 +170,20 @@ def test_items_with_a_null_id_hit_as_in_sql(spark):
     but = lambda rows: {(*r[:3], *r[4:]) for r in rows}
     assert but(map(tuple, got)) == but(con.execute(decontamination.SQL).fetchall())
     assert {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in got} == {1: (12, 0, True), 2: (23, 1, True), 3: (0, 0, False)}
+
+
+@pytest.mark.parametrize("trial", range(60))
+def test_intervals(trial):
+    """Rows are in one interval exactly if they share a prefix of the minimum length without a separator."""
+    r = random.Random(trial)
+    pieces = ["".join(r.choice("ab" if trial % 2 else "abcdef") for _ in range(r.randrange(0, 40))) for _ in range(r.randrange(1, 12))]
+    pieces += pieces[:2] if trial % 3 == 0 else []
+    least = r.choice([1, 2, 3, 5, 8, 13, 20])
+    text = np.array([x for p in pieces for x in [*(ord(c) - 96 for c in p), 0]], np.int16)
+    order, interval = suffixes.expand(text, 0, least)
+    found = {}
+    for row, start in enumerate(order.tolist()):
+        prefix = tuple(text[start : start + least].tolist())
+        found.setdefault(prefix if len(prefix) == least and 0 not in prefix else start, set()).add(int(interval[row]))
+    assert all(len(x) == 1 for x in found.values())
+    assert len({next(iter(x)) for x in found.values()}) == len(found)
