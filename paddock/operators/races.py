@@ -48,12 +48,6 @@ def bundle(race: DataFrame, qualifying: DataFrame) -> DataFrame:
     )
 
 
-def season_finales(race: DataFrame) -> DataFrame:
-    """The last race of each season (latest date, then highest id)."""
-    last = F.max_by(F.struct("race_id", "race_date", "circuit_id", "weather"), F.struct("race_date", "race_id"))
-    return race.groupBy("season").agg(last.alias("r")).select("season", "r.*")
-
-
 def weather_comparison(race: DataFrame) -> DataFrame:
     """Weather of every race against the mean of all races before its day, and their median temperature; races of the
     first day have no row. History depends on the day alone: means come from running totals of days, of which there

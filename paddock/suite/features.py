@@ -48,7 +48,6 @@ _META = """race_id, season, round, circuit_id, strftime(race_date, '%Y-%m-%d') A
 _META_COLUMNS = "race_id:s season:b round:b circuit_id:s race_date:s day_of_year:b month:b is_weekend:l"
 _GRID = """SELECT race_id, max(position) - min(position) AS grid_spread, avg(position) AS avg_grid_position, stddev_pop(position) AS grid_competitiveness
       FROM qualifying_result GROUP BY race_id"""
-_FINALE = "SELECT season, max_by(race_id, (race_date, race_id)) AS target_id, max(race_date) AS target_date FROM race GROUP BY season"
 _TRACK_CASE = {
     c: "CASE circuit_id " + " ".join(f"WHEN '{k}' THEN {v[i]}" for k, v in values.TRACKS.items()) + f" ELSE {values.DEFAULT_TRACK[i]} END"
     for i, c in enumerate(values.TRACK_COLUMNS)
@@ -62,12 +61,14 @@ _TEAM_TRACK = """count(*) AS races_at_track, avg(total_points) AS avg_points_per
       avg(coalesce(best_finish, 20)) AS avg_best_position, min(coalesce(best_finish, 20)) AS best_ever_position,
       sum(drivers_finished) / sum(total_drivers) AS reliability_rate, count(*) FILTER (WHERE best_finish <= 3) / count(*) AS podium_rate FROM constructor_race"""
 _TEAM_TRACK_COLUMNS = "races_at_track:b avg_points_per_race:d total_points:d avg_best_position:d best_ever_position:b reliability_rate:d podium_rate:d"
-_COMMON = f"""finale AS ({_FINALE}),
-    e AS (SELECT target_id, target_date, driver_id, result_idx FROM race_result JOIN finale ON race_id = target_id WHERE result_idx < 10),
-    pairs AS (SELECT a.target_id, a.target_date, a.driver_id AS d1, b.driver_id AS d2 FROM e a JOIN e b ON a.target_id = b.target_id AND a.result_idx < b.result_idx),
-    common AS (SELECT p.target_id, p.d1, p.d2, x.race_id, x.race_date, x.points AS points1, y.points AS points2, x.finished AND y.finished AS bothf,
-        x.finished AND y.finished AND x.final_position < y.final_position AS win1, x.finished AND y.finished AND y.final_position < x.final_position AS win2
+_PAIRS = """e AS (SELECT race_id AS target_id, race_date AS target_date, driver_id, result_idx FROM race_result WHERE result_idx < 10),
+    pairs AS (SELECT a.target_id, a.target_date, a.driver_id AS d1, b.driver_id AS d2 FROM e a JOIN e b ON a.target_id = b.target_id AND a.result_idx < b.result_idx)"""
+_BOTH = """x.race_id, x.race_date, x.points AS points1, y.points AS points2, x.finished AND y.finished AS bothf,
+        x.finished AND y.finished AND x.final_position < y.final_position AS win1, x.finished AND y.finished AND y.final_position < x.final_position AS win2"""
+_COMMON = f"""{_PAIRS}, common AS (SELECT p.target_id, p.d1, p.d2, {_BOTH}
       FROM pairs p JOIN race_result x ON x.driver_id = p.d1 AND x.race_date < p.target_date JOIN race_result y ON y.driver_id = p.d2 AND y.race_id = x.race_id)"""
+_SERIES = f"""{_PAIRS}, common AS (SELECT p.d1, p.d2, {_BOTH} FROM (SELECT DISTINCT least(d1, d2) AS d1, greatest(d1, d2) AS d2 FROM pairs) p
+      JOIN race_result x ON x.driver_id = p.d1 JOIN race_result y ON y.driver_id = p.d2 AND y.race_id = x.race_id)"""
 _OVERALL = """SELECT target_id, d1, d2, count(*) AS total_races, count(*) FILTER (WHERE bothf) AS races_both_finished, count(*) FILTER (WHERE win1) AS driver1_wins,
       count(*) FILTER (WHERE win2) AS driver2_wins, coalesce(count(*) FILTER (WHERE win1) * 100 / nullif(count(*) FILTER (WHERE bothf), 0), 0) AS driver1_win_percentage,
       coalesce(count(*) FILTER (WHERE win2) * 100 / nullif(count(*) FILTER (WHERE bothf), 0), 0) AS driver2_win_percentage,
@@ -75,8 +76,8 @@ _OVERALL = """SELECT target_id, d1, d2, count(*) AS total_races, count(*) FILTER
     FROM common GROUP BY ALL HAVING count(*) >= 2"""
 
 
-def _common(t):
-    return head_to_head.common_races(head_to_head.key_pairs(races.season_finales(t.race), t.race_result), t.race_result)
+def _overall(t):
+    return head_to_head.overall(head_to_head.key_pairs(t.race_result), t.race_result)
 
 
 def _suitability(t):
@@ -196,25 +197,25 @@ QUERIES = {
         "constructor_id:s race_id:s total_points:d best_position:b drivers_finished:b total_drivers:b race_no:b prior_races:b",
     ),
     "head_to_head_overall": Query(
-        on_tables(lambda t: head_to_head.overall(_common(t))),
+        on_tables(_overall),
         f"WITH {_COMMON} {_OVERALL}",
         "target_id:s d1:s d2:s total_races:b races_both_finished:b driver1_wins:b driver2_wins:b driver1_win_percentage:d driver2_win_percentage:d "
         "total_points_driver1:d total_points_driver2:d points_advantage_driver1:d",
     ),
     "head_to_head_rolling": Query(
-        on_tables(lambda t: head_to_head.rolling(_common(t))),
-        f"""WITH {_COMMON} SELECT * FROM (SELECT target_id, d1, d2, race_id, count(*) OVER w AS window_size, count(*) FILTER (WHERE bothf) OVER w AS races_both_finished,
+        on_tables(lambda t: head_to_head.rolling(head_to_head.common_races(head_to_head.key_pairs(t.race_result), t.race_result))),
+        f"""WITH {_SERIES} SELECT * FROM (SELECT d1, d2, race_id, count(*) OVER w AS window_size, count(*) FILTER (WHERE bothf) OVER w AS races_both_finished,
           count(*) FILTER (WHERE win1) OVER w AS driver1_wins, count(*) FILTER (WHERE win2) OVER w AS driver2_wins,
           coalesce(count(*) FILTER (WHERE win1) OVER w / nullif(count(*) FILTER (WHERE bothf) OVER w, 0), 0) AS driver1_win_rate,
           coalesce(count(*) FILTER (WHERE win2) OVER w / nullif(count(*) FILTER (WHERE bothf) OVER w, 0), 0) AS driver2_win_rate,
           sum(points1) OVER w AS driver1_points_total, sum(points2) OVER w AS driver2_points_total, avg(points1) OVER w AS driver1_avg_points,
           avg(points2) OVER w AS driver2_avg_points, sum(points1 - points2) OVER w AS points_advantage_driver1
-          FROM common WINDOW w AS (PARTITION BY target_id, d1, d2 ORDER BY race_date, race_id ROWS 4 PRECEDING)) WHERE window_size >= 2""",
-        "target_id:s d1:s d2:s race_id:s window_size:b races_both_finished:b driver1_wins:b driver2_wins:b driver1_win_rate:d driver2_win_rate:d "
+          FROM common WINDOW w AS (PARTITION BY d1, d2 ORDER BY race_date, race_id ROWS 4 PRECEDING)) WHERE window_size >= 2""",
+        "d1:s d2:s race_id:s window_size:b races_both_finished:b driver1_wins:b driver2_wins:b driver1_win_rate:d driver2_win_rate:d "
         "driver1_points_total:d driver2_points_total:d driver1_avg_points:d driver2_avg_points:d points_advantage_driver1:d",
     ),
     "comparative_features": Query(
-        on_tables(lambda t: head_to_head.comparative_features(head_to_head.overall(_common(t)))),
+        on_tables(lambda t: head_to_head.comparative_features(_overall(t))),
         f"""WITH {_COMMON}, o AS ({_OVERALL})
         SELECT target_id, d1 || '_vs_' || d2 || '_total_races' AS feature, total_races::DOUBLE AS value FROM o
         UNION ALL SELECT target_id, d1 || '_vs_' || d2 || '_driver1_win_rate', driver1_win_percentage / 100 FROM o

@@ -244,12 +244,11 @@ def test_few_starts_give_no_form(spark):
 
 
 def test_head_to_head_needs_two_races(spark):
-    pairs = spark.createDataFrame([("t", date(2024, 5, 1), "a", "b")], "target_id string, target_date date, d1 string, d2 string")
-    rows = [(d, r, date(2024, 1 + i, 1), p, 10.0 / p, True) for i, r in enumerate(("x", "y")) for d, p in (("a", 1), ("b", 2))]
-    results = spark.createDataFrame(rows, "driver_id string, race_id string, race_date date, final_position int, points double, finished boolean")
-    o = head_to_head.overall(head_to_head.common_races(pairs, results)).first()
-    assert (o.total_races, o.driver1_wins, o.driver1_win_percentage, o.points_advantage_driver1) == (2, 2, 100.0, 10.0)
-    assert head_to_head.overall(head_to_head.common_races(pairs, results.where("race_id = 'x'"))).count() == 0
+    rows = [(d, r, i, i, k, k + 1, 10.0 / (k + 1), True) for i, r in enumerate(("x", "y", "z")) for k, d in enumerate(("a", "b"))]
+    results = spark.createDataFrame(rows, "driver_id string, race_id string, prior_starts int, start_no int, result_idx int, final_position int, points double, finished boolean")
+    results = results.withColumns({"start_no": F.col("start_no") + 1, "race_date": F.date_add(F.lit("2024-01-01").cast("date"), F.col("start_no"))})
+    o = head_to_head.overall(head_to_head.key_pairs(results), results).collect()
+    assert [(x.target_id, x.total_races, x.driver1_wins, x.driver1_win_percentage, x.points_advantage_driver1) for x in o] == [("z", 2, 2, 100.0, 10.0)]
 
 
 def test_places_of_a_race_in_several_documents(spark, tmp_path):
