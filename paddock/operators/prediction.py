@@ -13,7 +13,6 @@ from paddock.operators.races import guarded_correlation
 from paddock.plans.literals import literal_table
 from paddock.plans.blocks import BLOCK, framed, number_rows, running
 
-BIG_FIELD = 20_000
 
 
 def driver_table(spark: SparkSession) -> DataFrame:
@@ -106,10 +105,8 @@ def race_scores(requests: DataFrame) -> DataFrame:
 
 def score_ranking(scored: DataFrame) -> DataFrame:
     """Rank by score; the winner's confidence grows with the gap, others lose 0.05 per place."""
-    ranked = number_rows(
-        scored, ["race_id"], [F.col("score").desc(), F.col("result_idx")], -F.floor(F.col("score") * 1000), "predicted_position",
-        big=F.col("lines") > BIG_FIELD,
-    )
+    band = F.coalesce(-F.floor(F.col("score") * 1000), F.lit(2**62))  # no score comes last
+    ranked = number_rows(scored, ["race_id"], [F.col("score").desc(), F.col("result_idx")], band, "predicted_position")
     ranked = framed(ranked, ["race_id"], "predicted_position", {(0, 1): {"_next": lambda w: F.min("score").over(w)}})
     first = F.least(F.lit(0.95), F.lit(0.7) + (F.col("score") - F.col("_next")) / 100)
     other = F.greatest(F.lit(0.3), F.lit(0.8) - (F.col("predicted_position") - 1) * 0.05)
@@ -181,9 +178,7 @@ def predict(base: DataFrame) -> DataFrame:
 
 def unique_positions(rows: DataFrame, place: str) -> DataFrame:
     """Move ties to the next free place, capped at the field size; ``list_no`` is the list order."""
-    listed = number_rows(
-        rows, ["race_id"], [F.col(place), F.col("result_idx")], F.col(place), "list_no", big=F.col("lines") > BIG_FIELD
-    )
+    listed = number_rows(rows, ["race_id"], [F.col(place), F.col("result_idx")], F.coalesce(F.col(place), F.lit(-1)), "list_no")
     long = rows.where(F.col("lines") > BLOCK).select("race_id").distinct()
     ahead = running(listed, ["race_id"], "list_no", maxima={"_push": F.col(place) - F.col("list_no")}, long=long)
     return ahead.withColumn("predicted_position", F.least(F.col("n_drivers"), F.col("list_no") + F.col("_push"))).drop("_push")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paddock import values
-from paddock.operators.prediction import BIG_FIELD, confidence_label, neighbours, top_rows
+from paddock.operators.prediction import confidence_label, neighbours, top_rows
 from paddock.plans.blocks import framed, number_rows
 from paddock.plans.dominance import dominance_sums, largest_before
 
@@ -74,7 +74,7 @@ def podium_battles(predictions: DataFrame) -> DataFrame:
     """Neighbours by podium probability less than 0.1 apart, the first above 0.2."""
     rows = predictions.select("race_id", "driver_id", "list_no", "lines", _head(3).alias("probability")).where(F.col("probability") > 0.1)
     ranked = number_rows(
-        rows, ["race_id"], [F.col("probability").desc(), F.col("list_no")], -F.floor(F.col("probability") * 1e6), "at", big=F.col("lines") > BIG_FIELD
+        rows, ["race_id"], [F.col("probability").desc(), F.col("list_no")], -F.floor(F.col("probability") * 1e6), "at"
     )
     second = lambda c: lambda w: F.when(F.count(F.lit(1)).over(w) == 2, F.last(c).over(w))
     pairs = framed(ranked, ["race_id"], "at", {(0, 1): {"next_driver_id": second("driver_id"), "next_probability": second("probability")}})
@@ -244,7 +244,7 @@ def team_battles(predictions: DataFrame, k: int = 2) -> DataFrame:
     The first k pairs in list order can only join a driver with the next k confident ones.
     """
     rows = predictions.where(F.col("confidence_score") > 0.7)
-    ranked = number_rows(rows, ["race_id"], [F.col("list_no")], F.floor(F.col("list_no") / 1024), "at", big=F.col("lines") > BIG_FIELD)
+    ranked = number_rows(rows, ["race_id"], [F.col("list_no")], F.floor(F.col("list_no") / 1024), "at")
     names = ("at", "driver_id", "driver_name", "predicted_position", "confidence_score", "expected_points")
     later = F.struct(*names)
     pairs = framed(ranked, ["race_id"], "at", {(1, k): {"_later": lambda w: F.collect_list(later).over(w)}}).withColumn("_next", F.explode("_later"))

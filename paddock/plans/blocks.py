@@ -23,7 +23,6 @@ def number_rows(
     chunk: Column,
     name: str,
     prior: str | None = None,
-    big: Column | None = None,
     count_from: DataFrame | None = None,
     upper: Column | None = None,
 ) -> DataFrame:
@@ -31,17 +30,13 @@ def number_rows(
 
     ``chunk`` must never decrease along ``order``; rows are numbered inside (keys, chunk) and
     shifted by the number of rows in earlier chunks. ``prior`` names a column that keeps this
-    shift, i.e. the number of rows in strictly earlier chunks. With ``big``, only groups where it
-    is true are cut into chunks; it has to be constant inside a group. ``count_from`` may name an
+    shift, i.e. the number of rows in strictly earlier chunks. ``count_from`` may name an
     earlier, cheaper frame with the same rows (a stored table) for counting the chunks. ``upper``, a
     coarser value that never decreases along ``chunk``, makes the shifts in two levels: where a group has
     very many chunks, no window sees more than those of one upper value, or all upper values.
     """
-    cut = chunk if big is None else F.when(big, chunk).otherwise(F.lit(0))
-    rows = df.withColumn("_chunk", cut.cast("long"))
-    sizes = rows if count_from is None else count_from.withColumn("_chunk", cut.cast("long"))
-    if big is not None:
-        sizes = sizes.where(big)
+    rows = df.withColumn("_chunk", chunk.cast("long"))
+    sizes = rows if count_from is None else count_from.withColumn("_chunk", chunk.cast("long"))
     if upper is not None:
         return _numbered_in_levels(rows, sizes.withColumn("_upper", upper), keys, order, name)
     shifts = (

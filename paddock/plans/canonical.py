@@ -20,7 +20,6 @@ from paddock import values
 from paddock.plans.blocks import number_rows
 
 ORDERS_PER_RACE = 6
-BIG_FIELD = 20_000
 CIRCUITS = (
     "monaco", "monza", "silverstone", "spa", "suzuka", "interlagos", "singapore", "bahrain",
     "saudi_arabia", "australia", "imola", "miami", "spain", "azerbaijan", "canada", "austria",
@@ -134,19 +133,18 @@ def _entrants(headers: DataFrame, lineitem: DataFrame, supplier: DataFrame) -> D
 
 
 def _entries(entrant: DataFrame) -> DataFrame:
-    # a race is cut into score bands only if its field is too large for one sort
-    big = F.col("lines") > BIG_FIELD
+    # fields are cut into bands of scores, so that no sort holds a whole field
     band = lambda c: F.floor(F.log2(c + 1) * 1000)
     group = F.col("withdrawn").cast("int") * 2 + F.col("retired").cast("int")
     entry = number_rows(
         entrant, ["race_key"],
         [F.col("withdrawn"), F.col("retired"), F.col("score").desc(), F.col("driver_key")],
-        group * 100_000 - band(F.col("score")), "place", big=big,
+        group * 100_000 - band(F.col("score")), "place",
     )
     return number_rows(
         entry, ["race_key"],
         [F.col("quantity").desc(), F.col("driver_key")],
-        -band(F.col("quantity")), "slot", big=big, count_from=entrant,
+        -band(F.col("quantity")), "slot", count_from=entrant,
     )
 
 

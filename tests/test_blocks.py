@@ -42,12 +42,6 @@ def test_number_rows(numbered, groups):
         assert r.prior == sum(1 for x in g if x[0] < r.day)
 
 
-def test_number_rows_only_big_groups(rows, groups):
-    sized = rows.join(rows.groupBy("k").count(), "k")
-    out = number_rows(sized, ["k"], [F.col("day"), F.col("id")], F.col("day"), "no", big=F.col("count") > 100)
-    assert all(groups[r.k][r.no - 1][1] == r.id for r in out.collect())
-
-
 def test_framed_across_blocks(numbered, groups):
     out = framed(
         numbered, ["k"], "no",
