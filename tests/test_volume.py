@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
+from paddock.operators import prediction
 from paddock.plans import canonical
 from paddock.plans.blocks import number_rows
+from paddock.plans.predictions import MODELS, long_predictions, predicted
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -20,3 +23,23 @@ def test_prior_rows_inside_a_chunk(spark):
     rows = spark.createDataFrame([("a", d, i) for i, d in enumerate([1, 1, 2, 11, 11, 12, 25])] + [("b", None, 0), ("b", 3, 1)], "k string, day int, id int")
     got = number_rows(rows, ["k"], [F.col("day"), F.col("id")], F.floor(F.col("day") / 10), "no", "prior", prior_of=F.col("day")).orderBy("k", "no").collect()
     assert [(r.no, r.prior) for r in got] == [(1, 0), (2, 0), (3, 2), (4, 3), (5, 3), (6, 5), (7, 6), (1, 0), (2, 1)]
+
+
+def test_places_shuffle_wide_rows_once(spark):
+    rows = spark.range(100).select(
+        F.concat(F.lit("r"), F.col("id") % 5).alias("race_id"), F.col("id").cast("int").alias("result_idx"), F.lit(20).alias("n_drivers"),
+        (F.col("id") % 7 + 1).cast("int").alias("place"), F.lit(20).alias("lines"), F.rand(1).alias("carried"),
+    ).localCheckpoint()
+    plan = prediction.unique_positions(rows, "place")._jdf.queryExecution().optimizedPlan().toString()
+    # one window over the rows, two over counts of places
+    assert plan.count("Window [row_number()") == 1 and plan.count("carried") > 0
+    assert sum(line.count("Window [") for line in plan.splitlines()) <= 3
+
+
+def test_confidence_of_models_side_by_side(spark):
+    rows = predicted(spark, FOLDER).predictions
+    want = {r.race_id: r for r in prediction.race_confidence(long_predictions(rows)).collect()}
+    got = prediction.joint_confidence(rows, [f"m_{m}" for m in MODELS]).collect()
+    assert len(got) == len(want) > 10
+    for r in got:
+        assert list(r)[1:] == pytest.approx(list(want[r.race_id])[1:])
