@@ -5,9 +5,9 @@
 2. The histogram of lengths, at most `capacity` numbers, goes to the driver. The configuration program
    (minimise the number of sequences, every length covered as often as it occurs) is solved there with prices of lengths that follow
    multiplicative weights and a knapsack dynamic program, bounded by the counts, that finds the configuration of the highest price.
-   With up to `EXACT` lengths its fractional solution is brought within `GAP` of a proven bound and rounded down. With more lengths than that
-   nearly all uses are fractions below one, so whole configurations are taken straight from the pricing: full ones only, as
-   prices of covered lengths fall from pass to pass.
+   Whole configurations are taken in three ways: straight from the pricing (full ones only, as prices of covered lengths fall from
+   pass to pass), and from the program's solution rounded down, covering every length or as played. The fewest sequences count; the program is
+   spared only where the pricing alone meets the bound by volume, so that no plan can have fewer.
 3. What stays over, sequences that cannot be filled to the end, is packed by best fit, on counts.
 4. Pieces are numbered within their length, in bounded blocks, and look up sequence and offset in the plan,
    whose size depends on capacity and rounds, not on the input.
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from paddock.llm.common import chunks, mix, powers, ragged, saved
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: the game of lengths and configurations: lengths at most, games, steps of each, rate, and gap to the bound that ends it
-EXACT, ROUNDS, STEPS, RATE, GAP = 64, 8, 3_000, 0.5, 1e-4
+#: the game of lengths and configurations: games, steps of each, rate, and gap to the bound that ends it
+ROUNDS, STEPS, RATE, GAP = 8, 3_000, 0.5, 1e-4
 #: passes that price what is left, and how much a price falls where a pass has covered all
 PASSES, FALL = 40, 0.1
 #: rows of one length that a task numbers at once, in the mean
@@ -226,17 +226,19 @@ class Knapsack:
         return one
 
 
-def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[list[dict[int, int]], np.ndarray, float]:
-    """The configuration program by multiplicative weights: configurations, how often each is used, and a proven lower
-    bound on the number of sequences.
+def _game(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[list[dict[int, int]], np.ndarray, np.ndarray, float]:
+    """The configuration program by multiplicative weights: configurations, how often each is used as played, the share of each length that
+    this covers, and a proven lower bound on the number of sequences.
 
     Lengths and configurations play a game. Prices of lengths that are covered too often fall, weights of configurations that are
     worth much rise; both foresee the last change, so their averages close in fast. Between the games the
     knapsack program adds the best configurations at the average prices."""
     scale = float((lengths * counts).sum()) / capacity
+    # how often the counts allow a configuration: weights begin in proportion, so that rare lengths are not covered many times over
+    able = lambda some: np.array([min(counts[k] / n for k, n in c.items()) for c in some])
     pool = [{k: int(min(counts[k], capacity // lengths[k]))} for k in range(len(lengths))]
     known = {tuple(sorted(c.items())) for c in pool}
-    price, weight, bound = lengths * counts / float((lengths * counts).sum()), np.full(len(pool), 1 / len(pool)), 0.0
+    price, weight, bound = lengths * counts / float((lengths * counts).sum()), able(pool) / able(pool).sum(), 0.0
     for _ in range(ROUNDS):
         table = Knapsack(price * scale / counts, lengths, counts, capacity)
         bound = max(bound, scale / table.value[capacity])
@@ -248,7 +250,7 @@ def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[
         new = [c for c in tops if (key := tuple(sorted(c.items()))) not in known and not known.add(key)]
         if new:
             pool += new
-            weight = np.append(weight * 0.9, np.full(len(new), 0.1 / len(new)))
+            weight = np.append(weight * 0.9, 0.1 * able(new) / able(new).sum())
         key = np.concatenate([np.fromiter(c.keys(), np.int64) for c in pool])
         copies = np.concatenate([np.fromiter(c.values(), np.float64) for c in pool]) * scale / counts[key]
         size = np.array([len(c) for c in pool])
@@ -267,10 +269,16 @@ def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[
             log_price -= RATE * (2 * cover - (cover if last_cover is None else last_cover))
             log_weight += RATE * (2 * worth - (worth if last_worth is None else last_worth))
         price, weight = np.maximum(mean_price / mean_price.sum(), 1e-300), np.maximum(mean_weight / mean_weight.sum(), 1e-300)
-        used = weight * scale / covers(weight).min()
-        if used.sum() <= bound * (1 + GAP):
+        cover = covers(weight)
+        if scale / cover.min() <= bound * (1 + GAP):
             break
-    return pool, used, bound
+    return pool, weight * scale, cover, bound
+
+
+def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[list[dict[int, int]], np.ndarray, float]:
+    """Configurations, how often each is used so that every length is covered, and a proven lower bound on the number of sequences."""
+    pool, used, cover, bound = _game(lengths, counts, capacity)
+    return pool, used / cover.min(), bound
 
 
 def _rounded(pool: list[dict[int, int]], used: np.ndarray, left: np.ndarray) -> list[tuple[dict[int, int], int]]:
@@ -342,12 +350,19 @@ def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[d
     lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
     if len(lengths) == 0:
         return []
-    left, out = counts.copy(), []
-    if len(lengths) <= EXACT:
-        pool, used, _ = fractional(lengths, counts, capacity)
-        out = _rounded(pool, used, left)
-    out += _full(lengths, left, capacity)
-    return out + _best_fit(lengths, left, capacity)
+
+    def whole(start: list[tuple[dict[int, int], int]], left: np.ndarray) -> list[tuple[dict[int, int], int]]:
+        out = start + _full(lengths, left, capacity)
+        return out + _best_fit(lengths, left, capacity)
+
+    size = lambda some: sum(times for _, times in some)
+    best = whole([], counts.copy())
+    if size(best) > -(-int((lengths * counts).sum()) // capacity):
+        pool, used, cover, _ = _game(lengths, counts, capacity)
+        for share in (cover.min(), 1.0):
+            left = counts.copy()
+            best = min(whole(_rounded(pool, used / share, left), left), best, key=size)
+    return best
 
 
 def layout(lengths: np.ndarray, planned: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:

@@ -128,6 +128,24 @@ def test_configuration_program(lengths, counts, optimum):
     assert sum(t for _, t in packing.plan(lengths, counts, 2048)) == optimum
 
 
+@pytest.mark.parametrize("more", [0, 1, 60])
+def test_one_rule_for_any_number_of_lengths(more):
+    """Lengths that fill no sequence are planned by the program, however many there are."""
+    lengths = np.concatenate([np.array([342, 410, 511, 683, 1024]), np.arange(1500, 1500 + more)])
+    counts = np.concatenate([np.full(5, 3000), np.ones(more, int)])
+    planned = packing.plan(lengths, counts, 2048)
+    used = np.zeros(len(lengths), int)
+    for one, times in planned:
+        assert sum(lengths[k] * n for k, n in one.items()) <= 2048
+        for k, n in one.items():
+            used[k] += n * times
+    assert (used == counts).all()
+    # the optimum of the five alone, and the others in sequences of their own
+    assert sum(t for _, t in planned) <= 4500 + more
+    many = packing.plan(np.arange(680, 780), np.full(100, 300), 2048)
+    assert sum(t for _, t in many) <= 14_700  # pricing and best fit alone need 14,775; no plan has fewer than 14,685
+
+
 def test_knapsack_is_bounded():
     rng = np.random.default_rng(8)
     for _ in range(30):
