@@ -8,7 +8,8 @@ step again, so their stretched texts differ at few times: edit distance becomes
 A fingerprint samples the stretched text of each of `WALKS` walks at `SLOTS` times. A slot is a random permutation of all times of which it takes
 the first that lies inside the text: the same time for all texts of a length, and mostly the same for similar lengths. It
 keeps 8 bits of a hash of the `GRAM` characters that the walk stands at. The likeness of two fingerprints is the share of equal slots, less
-what chance gives. Bands of `BAND` slots of a walk are keys; the fingerprints of a key are verified by their likeness to one of them.
+what chance gives. Bands of `BAND` slots are keys, more of them than near copies have different slots, so that any two near copies share one. Links are
+verified: each fingerprint against one of its key, then all of a key that are in no class together.
 
 Rows: one for each document; a null text is an empty one. Empty texts have a fingerprint of their own. Repeated rows and null ids are
 documents too; the order is by descending id, equal ids by two hashes of the text, null ids last. The next of a lone
@@ -29,16 +30,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paddock.llm.common import give_back, mix, partitions, saved
+from paddock.llm.common import give_back, mix, partitions, ragged, saved
+from paddock.llm.components import components
 
 #: walks, slots of each, characters of a sample, slots of a band
-WALKS, SLOTS, GRAM, BAND = 4, 24, 8, 6
+WALKS, SLOTS, GRAM, BAND = 4, 24, 8, 4
 #: period of the random bits, kinds of characters; times that slots know of
 PERIOD, KINDS, FARTHEST = 256, 64, 2**48
 #: characters of texts that go on side by side, and texts that are not worth it
 TOGETHER, FEW = 2_000_000, 12
-#: least likeness of near copies
+#: least likeness of near copies, and the number of equal slots that it is reached at
 NEAR = 0.8
+LEAST = next(n for n in range(WALKS * SLOTS + 1) if (n / (WALKS * SLOTS) - 1 / 256) / (1 - 1 / 256) >= NEAR)
+#: fingerprints of a key in a block, in the mean, and pairs that are compared at once
+GROUP, PAIRS = 1024, 200_000
 _ROW = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
@@ -261,29 +266,76 @@ def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return found.where("head is null").select(_FIELDS).unionByName(met.select("doc_id", "tail", "after").mapInArrow(finish, _ROW))
 
 
+def _linked_labels(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Links (a, b) between the labels of fingerprints (key, own, label) that share a key. The fingerprints of a key are dealt into blocks, and
+    every two blocks meet once."""
+    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("own"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", "own", "label", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    bucket = F.pmod(F.xxhash64("key", "low", "high"), F.lit(4 * partitions(rows.sparkSession))).alias("bucket")
+    dealt = dealt.join(firsts.select("own", "fingerprint"), "own").select(bucket, "key", "label", "block", "low", "high", "fingerprint")
+
+    def verify(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("key", "ascending"), ("low", "ascending"), ("high", "ascending"), ("block", "ascending")])
+        key, label, block, low, high = (table.column(c).to_numpy() for c in ("key", "label", "block", "low", "high"))
+        slots = np.frombuffer(b"".join(table.column("fingerprint").to_pylist()), np.uint8).reshape(len(key), WALKS * SLOTS)
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
+        edge = np.append(np.flatnonzero(new), len(key))
+        group = np.cumsum(new) - 1
+        # within a block each fingerprint meets those after it, between two blocks those of the first meet the second
+        firsts = np.add.reduceat((block == low).astype(np.int64), edge[:-1])
+        begin = np.where(low == high, np.arange(len(key)) + 1, (edge[:-1] + firsts)[group])
+        size = np.where(block == low, edge[1:][group] - begin, 0)
+        done = np.cumsum(size)
+        found, at = [np.zeros((0, 2), np.int64)], 0
+        while at < len(key):
+            stop = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + PAIRS, side="right")))
+            one, other = np.repeat(np.arange(at, stop), size[at:stop]), ragged(begin[at:stop], size[at:stop])
+            apart = label[one] != label[other]
+            one, other = one[apart], other[apart]
+            near = (slots[one] == slots[other]).sum(1) >= LEAST
+            found.append(np.unique(np.stack([label[one[near]], label[other[near]]], 1), axis=0))
+            at = stop
+        links = np.unique(np.concatenate(found), axis=0)
+        give_back()
+        return pa.table({"a": pa.array(links[:, 0], pa.int64()), "b": pa.array(links[:, 1], pa.int64())})
+
+    return dealt.groupBy("bucket").applyInArrow(verify, "a long, b long")
+
+
 def near_copies(prints: DataFrame) -> DataFrame:
-    """(fingerprint, copy_of): for each distinct fingerprint the smallest id among the heads of its keys that are verified
-    near copies, or its own. A key's head is the smallest hash of its fingerprints; links grow as the keys do, and no
-    two members of a group are paired. Fingerprints are bytes."""
+    """(fingerprint, copy_of): for each distinct fingerprint the smallest id of its class, those that links between near copies reach. First each
+    fingerprint is verified against the smallest hash of each of its keys, then all of a key that are in no class together. Fingerprints are
+    bytes."""
     firsts = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")).withColumn("own", F.xxhash64("fingerprint"))
+    firsts = saved(firsts, "prints")
     bands = F.transform(F.sequence(F.lit(0), F.lit(WALKS * SLOTS // BAND - 1)), lambda k: F.xxhash64(k, F.substring("fingerprint", k * BAND + 1, F.lit(BAND))))
     keyed = firsts.select("own", F.explode(bands).alias("key"))
-    heads = keyed.groupBy("key").agg(F.min("own").alias("head"), F.max("own").alias("last")).where("head < last").select("key", "head")
-    pairs = keyed.join(heads, "key").where("own <> head").select("own", "head").distinct()
-    other = firsts.select(F.col("own").alias("head"), F.col("fingerprint").alias("head_print"), F.col("doc_id").alias("head_id"))
+    heads = keyed.groupBy("key").agg(F.min("own").alias("head"), F.max("own").alias("last"), F.count("*").alias("members"))
+    heads = heads.where("head < last")
+    held = saved(keyed.join(heads.select("key", "head", "members"), "key"), "keyed")
+    pairs = held.where("own <> head").select("own", "head").distinct()
+    other = firsts.select(F.col("own").alias("head"), F.col("fingerprint").alias("head_print"))
     both = pairs.join(firsts, "own").join(other, "head")
-    total = WALKS * SLOTS
     slot = lambda c, k: F.substring(c, k + 1, F.lit(1))
-    same = F.aggregate(F.sequence(F.lit(0), F.lit(total - 1)), F.lit(0), lambda n, k: n + (slot("fingerprint", k) == slot("head_print", k)).cast("int"))
-    # the likeness reaches NEAR at this number of equal slots
-    least = next(n for n in range(total + 1) if (n / total - 1 / 256) / (1 - 1 / 256) >= NEAR)
-    links = both.where(same >= least)
-    copies = links.groupBy("fingerprint").agg(F.min("head_id").alias("copy_of"))
-    return firsts.join(copies, "fingerprint", "left").select("fingerprint", F.least("doc_id", "copy_of").alias("copy_of"))
+    same = F.aggregate(F.sequence(F.lit(0), F.lit(WALKS * SLOTS - 1)), F.lit(0), lambda n, k: n + (slot("fingerprint", k) == slot("head_print", k)).cast("int"))
+    labels = components(both.where(same >= LEAST).select(F.col("own").alias("a"), F.col("head").alias("b")))
+
+    # keys of two are done
+    rows = held.where("members > 2").join(labels.withColumnRenamed("id", "own"), "own", "left").select("key", "own", F.coalesce("label", "own").alias("label"))
+    open_keys = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    rows = saved(rows.join(open_keys.select("key"), "key"), "open")
+    joined = components(_linked_labels(rows, firsts)).select(F.col("id").alias("label"), F.col("label").alias("class"))
+    known = labels.withColumnRenamed("id", "own")
+    named = firsts.join(known, "own", "left").withColumn("label", F.coalesce("label", "own")).join(joined, "label", "left")
+    named = saved(named.select("fingerprint", "doc_id", F.coalesce("class", "label").alias("class")), "classes")
+    least = named.groupBy("class").agg(F.min("doc_id").alias("copy_of"))
+    return named.join(least, "class").select("fingerprint", "copy_of")
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `compared`, fingerprints in hexadecimal, with `copy_of`, the smallest id that a document is known to be a near copy of (or its own)."""
+    """The rows of `compared`, fingerprints in hexadecimal, with `copy_of`, the smallest id of the class that links between near copies join (its own, if it has none)."""
     prints = compared(docs, id_col, text_col)
     named = prints.join(near_copies(prints.select("doc_id", "fingerprint")), "fingerprint")
     return named.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")}).select(*_FIELDS, "copy_of")

@@ -93,3 +93,33 @@ def test_near_copies(spark):
     rows = [(10 * k + j, t if j < 3 else t + " tail") for k, t in enumerate(base) for j in range(4)]
     got = {r["doc_id"]: r["copy_of"] for r in fp.report(documents(spark, rows).repartition(4)).collect()}
     assert got == {10 * k + j: 10 * k for k in range(10) for j in range(4)}
+
+
+@pytest.mark.parametrize(("group", "pairs"), [(1024, 200_000), (4, 7)])
+def test_no_link_is_left_out(spark, group, pairs, monkeypatch):
+    """Fingerprints that share keys but are far from the head of each, and near copies at the threshold, against all pairs."""
+    monkeypatch.setattr(fp, "GROUP", group)
+    monkeypatch.setattr(fp, "PAIRS", pairs)
+    rng = np.random.default_rng(4)
+    total = fp.WALKS * fp.SLOTS
+    rows = []
+    for _ in range(4):
+        base = rng.integers(0, 256, total).astype(np.uint8)
+        for _ in range(8):  # they share a quarter with the base, in three families
+            far = base.copy()
+            far[total // 4 :] = rng.integers(0, 256, total - total // 4)
+            rows += [far, far.copy(), far.copy()]
+            rows[-1][-1] ^= 1
+            spread = far.copy()  # as many slots differ as may, spread over all bands
+            spread[rng.permutation(np.arange(0, total, 5))[: total - fp.LEAST]] ^= 1
+            rows.append(spread)
+    rows = [r.tobytes() for r in rows]
+    ids = rng.permutation(len(rows)).tolist()
+    links = [(ids[i], ids[j]) for i, a in enumerate(rows) for j, b in enumerate(rows) if i < j and fp.likeness(a, b) >= fp.NEAR]
+    top = {i: i for i in ids}
+    for _ in ids:
+        for a, b in links:
+            top[a] = top[b] = min(top[a], top[b])
+    frame = spark.createDataFrame([(i, bytearray(r)) for i, r in zip(ids, rows)], "doc_id long, fingerprint binary")
+    got = {bytes(r["fingerprint"]): r["copy_of"] for r in fp.near_copies(frame).collect()}
+    assert got == {r: top[i] for i, r in zip(ids, rows)}
