@@ -17,12 +17,15 @@ def documents(race: DataFrame, results: DataFrame, qualifying: DataFrame, part:
     entry = F.struct(
         "result_idx", "driver_id", "constructor_id", "grid_position", "final_position", "points", "fastest_lap", "status", "laps_completed"
     )
-    lists = results.groupBy("race_id", F.floor(F.col("result_idx") / part).alias("part")).agg(
-        F.transform(F.array_sort(F.collect_list(entry)), lambda x: x.dropFields("result_idx")).alias("results")
-    )
     quali = F.struct("position", "driver_id", "constructor_id", F.col("q1").alias("q1_time"), F.col("q2").alias("q2_time"), F.col("q3").alias("q3_time"))
-    q_lists = qualifying.groupBy("race_id", F.floor((F.col("position") - 1) / part).alias("part")).agg(F.array_sort(F.collect_list(quali)).alias("qualifying"))
-    both = lists.join(q_lists, ["race_id", "part"], "full_outer")
+    # results and qualifying entries are sent by race, as the join with the headers asks for, so that lists are made where they are joined
+    rows = results.select("race_id", F.floor(F.col("result_idx") / part).alias("part"), entry.alias("result")).unionByName(
+        qualifying.select("race_id", F.floor((F.col("position") - 1) / part).alias("part"), quali.alias("entry")), allowMissingColumns=True
+    )
+    both = rows.repartition("race_id").groupBy("race_id", "part").agg(
+        F.transform(F.array_sort(F.collect_list("result")), lambda x: x.dropFields("result_idx")).alias("results"),
+        F.array_sort(F.collect_list("entry")).alias("qualifying"),
+    )
     empty = lambda c: F.coalesce(c, F.array().cast(both.schema[c].dataType)).alias(c)
     return race.join(both, "race_id", "left").select(
         "season", "round", "race_id", F.coalesce("part", F.lit(0)).alias("part"), (F.coalesce("part", F.lit(0)) * part).alias("first_result"), "circuit_id", "race_name",
@@ -32,7 +35,7 @@ def documents(race: DataFrame, results: DataFrame, qualifying: DataFrame, part:
 
 def write_races(docs: DataFrame, path: str) -> None:
     """Write documents below ``season=``; only the seasons present are replaced."""
-    docs.write.partitionBy("season").mode("overwrite").option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", "false").json(path)
+    docs.write.partitionBy("season").mode("overwrite").option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", "false").option("compression", "gzip").json(path)
 
 
 def read_races(spark: SparkSession, path: str) -> DataFrame:
